@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.io import table
-from tidegraph.llm import secrets, sentencepiece_codec, weak_rules
+from tidegraph.llm import license_scan, secrets, sentencepiece_codec, subword_classifier, weak_rules
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -28,6 +28,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@LLM.query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of a fold by id are never learnt from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = subword_classifier.remainder("doc_id", 4) == 2
+    model = subword_classifier.learn(docs, labels.where(~fold))
+    scored = subword_classifier.classify(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @LLM.query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the weakly supervised verdict on every document."""
@@ -38,3 +48,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document."""
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model())
+
+
+@LLM.query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document; its path is source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan.scan(docs, path=path, keep=["doc_id"])
