@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.io import table
-from tidegraph.llm import license_scan, secrets, sentencepiece_codec, subword_classifier, weak_rules
+from tidegraph.llm import license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, weak_rules
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -38,6 +38,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@LLM.query()
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents on sets of four-word shingles."""
+    found, _ = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return found
+
+
 @LLM.query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the weakly supervised verdict on every document."""
