@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.io import table
-from tidegraph.llm import license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, weak_rules
+from tidegraph.llm import decontaminate, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, weak_rules
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -22,6 +22,12 @@ def piece_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+@LLM.query()
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the benchmark items found in them."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 @LLM.query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; SQL has no scan by automaton, so tests compare with plain expressions."""
