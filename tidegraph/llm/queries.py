@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.io import table
-from tidegraph.llm import decontaminate, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, weak_rules
+from tidegraph.llm import decontaminate, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, weak_rules
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -51,6 +51,16 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@LLM.query()
+def op7_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, by a k-d tree over size, language and source."""
+    dims = {"bytes": F.log1p(F.coalesce(F.octet_length("text"), F.lit(0))), "lang": F.crc32(F.col("lang").cast("binary")), "source": F.crc32(F.col("source").cast("binary"))}
+    found, _ = kdtree.shards(table(spark, sf_dir, "documents"), dims=dims, law="bytes")
+    return found.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @LLM.query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the weakly supervised verdict on every document."""
