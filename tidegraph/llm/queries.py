@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.io import table
-from tidegraph.llm import decontaminate, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, weak_rules
+from tidegraph.llm import decontaminate, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, suffix_repeats, weak_rules
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -51,6 +51,13 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@LLM.query()
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 400-byte strings of all documents, cut out."""
+    found, _ = suffix_repeats.repeated(table(spark, sf_dir, "documents"))
+    return found
+
+
 @LLM.query()
 def op7_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, by a k-d tree over size, language and source."""
