@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.io import table
-from tidegraph.llm import decontaminate, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, suffix_repeats, weak_rules
+from tidegraph.llm import decontaminate, gru_lm, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, suffix_repeats, weak_rules
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -28,6 +28,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+@LLM.query()
+def op2_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; a fold by id is never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    found, _ = gru_lm.scores(docs, subword_classifier.remainder("doc_id", 5) == 1)
+    return found
+
+
 @LLM.query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; SQL has no scan by automaton, so tests compare with plain expressions."""
