@@ -202,10 +202,11 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
 
     cold = ready.where("windows IS NULL").select("gram", "context", "n", "lefts", "rights").repartition("gram").sortWithinPartitions("gram")
     verdicts = cold.mapInArrow(compare, "gram bigint, context bigint, left bigint, right bigint")
-    hot = ready.where("windows IS NOT NULL").select(
-        "gram", "context", "n",
-        F.explode(F.transform(F.sequence(F.lit(0), F.size("windows") / 2 - 1), lambda i: F.struct(F.element_at("windows", (2 * i + 1).cast("int")).alias("left"), F.element_at("windows", (2 * i + 2).cast("int")).alias("hash")))).alias("w"),
-    ).where(F.size("windows") > 0) if hot_group_present(entries, hot_group) else None
+    hot = None
+    if not sizes.where("hot").isEmpty():
+        at = F.sequence(F.lit(1), F.size("windows") - 1, F.lit(2))
+        pairs = F.transform(at, lambda i: F.struct(F.element_at("windows", i).alias("left"), F.element_at("windows", i + 1).alias("hash")))
+        hot = ready.where(F.size("windows") > 0).select("gram", "context", "n", F.explode(pairs).alias("w"))
     if hot is not None:
         windows = hot.select("gram", "context", "n", "w.left", "w.hash")
         twice = windows.groupBy("gram", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "hash")
@@ -249,7 +250,3 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
 
     return joined.mapInArrow(cut, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if cleaned else "")), scratch
 
-
-def hot_group_present(entries: DataFrame, hot_group: int) -> bool:
-    """True if some group has more different contexts than one task should compare."""
-    return not entries.groupBy("gram").count().where(F.col("count") > hot_group).isEmpty()
