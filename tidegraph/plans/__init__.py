@@ -3,3 +3,5 @@
 from tidegraph.registry import Registry
 
 REGISTRY = Registry()
+
+from tidegraph.plans import history  # noqa: E402, F401
