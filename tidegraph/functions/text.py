@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, though body names it often (inside lambdas a value would be worked out for each element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def short_hash(x: Column, n: int) -> Column:
     """First n characters of the unpadded url-safe base64 of a sha256."""
     return F.substring(F.translate(F.rtrim(F.base64(F.unhex(F.sha2(x.cast("binary"), 256))), F.lit("=")), "+/", "-_"), 1, n)
@@ -77,8 +84,10 @@ def words(x: Column) -> Column:
 
 def max_gram_count(w: Column, n: int = 3) -> Column:
     """How often the commonest n-gram of an array of words occurs: longest run in the sorted n-grams."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\u0001"))
-    return F.when(F.size(w) >= n, longest_run(F.array_sort(grams))).otherwise(F.lit(0))
+    def grams(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\u0001"))
+
+    return let(w, lambda v: F.when(F.size(v) >= n, longest_run(F.sort_array(grams(v)))).otherwise(F.lit(0)))
 
 
 def longest_run(tokens: Column) -> Column:
@@ -98,17 +107,19 @@ def raw_tokens(x: Column) -> Column:
 
 def degenerate_flags(x: Column) -> Column:
     """Array of flags of degenerate model output (X6), in a fixed order; [empty] alone for null or blank text."""
-    w = words(x)
-    n, unique, head = F.size(w), F.size(F.array_distinct(w)), F.upper(F.left(F.trim(x), F.lit(60)))
-    low = (n >= 4) & (unique < n * 0.30)
-    gram = (n >= 6) & (max_gram_count(w) > 5)
-    run = longest_run(raw_tokens(x)) > 4
-    punct = x.rlike(r"([^\w\s])\1{7,}")
-    flags = [
-        ("very_few_words", n < 3), ("contradiction", head.contains("YES") & head.contains("NO")), ("low_unique_ratio", low), ("repeated_ngram", gram),
-        ("repeated_token", run), ("repeated_punct", punct), ("truncation", n > 1900), ("very_long", (n > 600) & (n <= 1900) & ~(low | gram | run | punct)),
-    ]
-    return F.when(x.isNull() | (F.trim(x) == ""), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in flags])))
+    def flags(x: Column, w: Column) -> Column:
+        n, unique, head = F.size(w), F.size(F.array_distinct(w)), F.upper(F.left(F.trim(x), F.lit(60)))
+        low = (n >= 4) & (unique < n * 0.30)
+        gram = (n >= 6) & (max_gram_count(w) > 5)
+        run = longest_run(raw_tokens(x)) > 4
+        punct = x.rlike(r"([^\w\s])\1{7,}")
+        long_ = (n > 600) & (n <= 1900)
+        first = F.array(F.when(n < 3, F.lit("very_few_words")), F.when(head.contains("YES") & head.contains("NO"), F.lit("contradiction")))
+        loops = F.array(F.when(low, F.lit("low_unique_ratio")), F.when(gram, F.lit("repeated_ngram")), F.when(run, F.lit("repeated_token")), F.when(punct, F.lit("repeated_punct")))
+        late = let(F.array_compact(loops), lambda found: F.concat(found, F.array_compact(F.array(F.when(n > 1900, F.lit("truncation")), F.when(long_ & (F.size(found) == 0), F.lit("very_long"))))))
+        return F.concat(F.array_compact(first), late)
+
+    return F.when(x.isNull() | (F.trim(x) == ""), F.array(F.lit("empty"))).otherwise(let(words(x), lambda w: flags(x, w)))
 
 
 def clean_wikitext(x: Column) -> Column:
@@ -147,9 +158,11 @@ def context(x: Column, mention: Column, n: int) -> Column:
 
 def chunks(x: Column, size: int, overlap: int = 0) -> Column:
     """Token chunks of a size, each starting size - overlap after the one before."""
-    t = F.split(x, " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(t) - overlap, F.lit(1)), F.lit(size - overlap))
-    return F.transform(starts, lambda s: F.array_join(F.slice(t, s, size), " "))
+    def parts(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - overlap, F.lit(1)), F.lit(size - overlap))
+        return F.transform(starts, lambda s: F.array_join(F.slice(t, s, size), " "))
+
+    return let(F.split(x, " "), parts)
 
 
 def pack_sentences(x: Column, limit: int) -> Column:

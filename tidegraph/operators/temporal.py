@@ -218,10 +218,10 @@ def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     both = cut(edges.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b")).unionByName(edges.where("head <> tail").select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.a).select(both.a.alias("node"), "label").groupBy("node").agg(F.min("label").alias("near"))
-        mine = labels.join(near, labels.a == near.node).select(labels.a, F.least("label", "near").alias("label"))
-        parent = mine.select(F.col("a").alias("p"), F.col("label").alias("up"))
-        after = cut(mine.join(parent, mine.label == parent.p).select("a", F.least("label", "up").alias("label")))
+        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").groupBy("node").agg(F.min("label").alias("near"))
+        mine = labels.join(near.withColumnRenamed("node", "a"), "a").select("a", F.least("label", "near").alias("label"))
+        parent = mine.select(F.col("a").alias("label"), F.col("label").alias("up"))
+        after = cut(mine.join(parent, "label").select("a", F.least("label", "up").alias("label")))
         changed = after.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").limit(1).count()
         labels = after
         if not changed:

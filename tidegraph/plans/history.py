@@ -29,7 +29,7 @@ def snapshot_asof(spark: SparkSession, sf: str) -> DataFrame:
     return tp.snapshot(validity(spark, sf), T15).groupBy("relation").agg(F.count("*").alias("n_active"))
 
 
-@query(f"{HISTORY} SELECT at, relation, count(*) AS n_active FROM iv, (VALUES ({T8}), ({T15}), ({T22})) v(at) WHERE {active('at')} GROUP BY at, relation")
+@query(f"{HISTORY} SELECT v.t AS \"at\", relation, count(*) AS n_active FROM iv, (VALUES ({T8}), ({T15}), ({T22})) v(t) WHERE {active('v.t')} GROUP BY v.t, relation")
 def multi_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return tp.snapshots(validity(spark, sf), [T8, T15, T22]).groupBy("at", "relation").agg(F.count("*").alias("n_active"))
 
@@ -140,8 +140,8 @@ def first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "WITH d AS (SELECT event_id, 2020 + event_id % 5 AS y, event_id % 13 AS m, 1 + event_id % 31 AS dd FROM events), "
-    "v AS (SELECT *, CASE WHEN m BETWEEN 1 AND 12 THEN make_date(CAST(y AS INT), CAST(m AS INT), 1) END AS f FROM d) "
-    "SELECT event_id, CAST(floor(epoch(make_timestamp(y, m, least(dd, day(last_day(f))), 0, 0, 0.0))) AS BIGINT) AS q_ts FROM v"
+    "v AS (SELECT *, CASE WHEN m BETWEEN 1 AND 12 THEN make_date(CAST(y AS INT), CAST(greatest(m, 1) AS INT), 1) END AS f FROM d) "
+    "SELECT event_id, CASE WHEN f IS NOT NULL THEN CAST(floor(epoch(make_timestamp(y, greatest(m, 1), least(dd, day(last_day(f))), 0, 0, 0.0))) AS BIGINT) END AS q_ts FROM v"
 )
 def qualifier_dates(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id").cast("int")
@@ -155,7 +155,7 @@ def qualifier_polarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CREATED = "c AS (SELECT e, min(ts) AS created FROM (SELECT head AS e, ts FROM edges UNION ALL SELECT tail, ts FROM edges) GROUP BY e)"
-T_EMERGE = 1600000000
+T_EMERGE = 810000000
 
 
 @query(f"WITH {EDGES}, {CREATED} SELECT edges.head, edges.tail, edges.order_id, h.created AS head_created, t.created AS tail_created FROM edges LEFT JOIN c h ON h.e = edges.head LEFT JOIN c t ON t.e = edges.tail")
@@ -332,17 +332,17 @@ def both_ends_mentioned(spark: SparkSession, sf: str) -> DataFrame:
     return joins.both_ends(_statements(spark, sf), _mentions(spark, sf)).groupBy("passage").agg(F.count("*").alias("n"))
 
 
-MID = 1500000000
+MID = 900000000
 
 
 @query(
     f"WITH {EDGES}, {MENTIONS}, {STATEMENTS}, {BOTH}, {CREATED}, s2 AS (SELECT st.*, h.created AS hc, t.created AS tc FROM st JOIN c h ON h.e = st.head JOIN c t ON t.e = st.tail WHERE to_ts IS NULL OR to_ts > {MID} + 100), "
-    f"x AS (SELECT DISTINCT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.head WHERE hc > {T_EMERGE - 3 * 10**8} AND tc < {T_EMERGE - 3 * 10**8} UNION SELECT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.tail WHERE tc > {T_EMERGE - 3 * 10**8} AND hc < {T_EMERGE - 3 * 10**8}) "
+    f"x AS (SELECT DISTINCT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.head WHERE hc > {T_EMERGE} AND tc < {T_EMERGE} UNION SELECT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.tail WHERE tc > {T_EMERGE} AND hc < {T_EMERGE}) "
     "SELECT passage, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.passage = x.passage AND b.head = x.head AND b.relation = x.relation AND b.tail = x.tail) GROUP BY passage"
 )
 def emerging_end_to_old(spark: SparkSession, sf: str) -> DataFrame:
     st, e = _statements(spark, sf), edges(spark, sf)
-    found = joins.emerging_to_old(joins.attach_creation(st, _created(e)), _mentions(spark, sf), T_EMERGE - 3 * 10**8, MID, 100)
+    found = joins.emerging_to_old(joins.attach_creation(st, _created(e)), _mentions(spark, sf), T_EMERGE, MID, 100)
     return found.groupBy("passage").agg(F.count("*").alias("n"))
 
 
@@ -442,24 +442,24 @@ def multi_type_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.of_many_types(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", 2, 30, seed=3)
 
 
-@query(f"WITH r AS (SELECT o_custkey AS page, o_orderkey AS revision, {SECONDS.format('o_orderdate')} AS ts, lead({SECONDS.format('o_orderdate')}) OVER (PARTITION BY o_custkey ORDER BY {SECONDS.format('o_orderdate')}, o_orderkey) AS nx FROM orders) SELECT page, revision, at FROM r, (VALUES (1450000000), (1500000000), (1550000000)) v(at) WHERE ts <= at AND (nx IS NULL OR at < nx)")
+@query(f"WITH r AS (SELECT o_custkey AS page, o_orderkey AS revision, {SECONDS.format('o_orderdate')} AS ts, lead({SECONDS.format('o_orderdate')}) OVER (PARTITION BY o_custkey ORDER BY {SECONDS.format('o_orderdate')}, o_orderkey) AS nx FROM orders) SELECT page, revision, v.t AS \"at\" FROM r, (VALUES (850000000), (900000000), (950000000)) v(t) WHERE ts <= v.t AND (nx IS NULL OR v.t < nx)")
 def revision_at_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("revision"), seconds("o_orderdate").alias("ts"))
-    return joins.revisions_at(r, [1450000000, 1500000000, 1550000000]).select("page", "revision", "at")
+    return joins.revisions_at(r, [850000000, 900000000, 950000000]).select("page", "revision", "at")
 
 
 @query(
     f"WITH r AS (SELECT o_custkey AS page, o_orderkey AS revision, {SECONDS.format('o_orderdate')} AS ts, lead(o_orderkey) OVER w AS nr, lead({SECONDS.format('o_orderdate')}) OVER w AS nx FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY {SECONDS.format('o_orderdate')}, o_orderkey)), "
-    "t AS (SELECT c_custkey AS page, 1500000000 AS ts FROM customer), b AS (SELECT t.page, t.ts, max(r.ts) AS m FROM t LEFT JOIN r ON r.page = t.page AND r.ts <= t.ts GROUP BY 1, 2), "
+    "t AS (SELECT c_custkey AS page, 900000000 AS ts FROM customer), b AS (SELECT t.page, t.ts, max(r.ts) AS m FROM t LEFT JOIN r ON r.page = t.page AND r.ts <= t.ts GROUP BY 1, 2), "
     f"f AS (SELECT b.page, b.ts, r.revision, r.nr, r.nx, r.ts AS rts, row_number() OVER (PARTITION BY b.page ORDER BY r.revision DESC) AS n FROM b LEFT JOIN r ON r.page = b.page AND r.ts = b.m) SELECT page, ts, CASE WHEN nx IS NULL OR nx - rts > {30 * DAY} THEN revision ELSE nr END AS revision FROM f WHERE n = 1"
 )
 def revision_for_time(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("revision"), seconds("o_orderdate").alias("ts"))
-    targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("page"), F.lit(1500000000).cast("bigint").alias("ts"))
+    targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("page"), F.lit(900000000).cast("bigint").alias("ts"))
     return joins.revision_for(r, targets, 30 * DAY)
 
 
-@query(f"WITH RECURSIVE mv AS (SELECT 'T' || (event_id % 400) AS title, 'T' || ((event_id * 7 + 1) % 400) AS new_title, min({SECONDS.format('ts')}) AS ts FROM events WHERE event_id % 9 = 0 GROUP BY 1, 2), one AS (SELECT title, ts, min(new_title) AS new_title FROM mv GROUP BY 1, 2), s AS (SELECT DISTINCT title, {T0} AS ts FROM one), walk(title, ts, final, at, hop) AS (SELECT title, ts, title, ts, 0 FROM s UNION ALL SELECT w.title, w.ts, o.new_title, o.ts, hop + 1 FROM walk w JOIN one o ON o.title = w.final AND o.ts = (SELECT min(x.ts) FROM one x WHERE x.title = w.final AND x.ts > w.at) WHERE hop < 1000) SELECT title, ts, arg_max(final, hop) AS final FROM walk GROUP BY 1, 2")
+@query(f"WITH RECURSIVE mv AS (SELECT 'T' || (event_id % 400) AS title, 'T' || ((event_id * 7 + 1) % 400) AS new_title, min({SECONDS.format('ts')}) AS ts FROM events WHERE event_id % 9 = 0 GROUP BY 1, 2), one AS (SELECT title, ts, min(new_title) AS new_title FROM mv GROUP BY 1, 2), s AS (SELECT DISTINCT title, {T0} AS ts FROM one), walk(title, ts, final, since, hop) AS (SELECT title, ts, title, ts, 0 FROM s UNION ALL SELECT w.title, w.ts, o.new_title, o.ts, hop + 1 FROM walk w JOIN one o ON o.title = w.final AND o.ts = (SELECT min(x.ts) FROM one x WHERE x.title = w.final AND x.ts > w.since) WHERE hop < 1000) SELECT title, ts, arg_max(final, hop) AS final FROM walk GROUP BY 1, 2")
 def move_chain(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").where("event_id % 9 = 0")
     name = lambda c: F.concat(F.lit("T"), c.cast("string"))
