@@ -11,14 +11,16 @@ the least similarity that counts (0.8), 48 bands of 5 rows miss a pair with a ch
 
 Pairs without the square of a group:
 1. Texts of equal word sequences are one class from the start; only their least id goes on.
-2. In each bucket every member is compared with the bucket's least id (a star), exactly, on the full sets; the
-   confirmed links give components.
-3. Members of a bucket that are not of its largest component (by the star) are compared with all members of other
-   components; members of one component need no comparison. No candidate between different
+2. In each bucket every member is compared with the bucket's least id, the hub, exactly, on the full sets; the
+   links found give components. Two candidates share a bucket, so both are in the star of its hub.
+3. A member is the hub's set less some shingles, plus added ones. Two members without a common added shingle share
+   at most what both kept of the hub, which the sizes bound; mostly that rules the pair out. So members of
+   different components are only compared (a) if they have a common added shingle, by stars over (hub, shingle) first and
+   then, where components still differ, pair by pair, or (b) if the bound without a common one allows it.
+   Members of one component need no comparison, as only components count. No possible link between different
    components is left out, so the components are those of all links among candidates.
-Both comparisons first drop pairs whose sizes or sketches rule the similarity out: two bits of
-each coordinate are compared, and a pair goes if it differs in more coordinates than a
-similar pair does but for a chance of about 1e-9.
+Pairs of step 3 first pass a test of sizes and sketches: two bits of each coordinate are compared, and a pair goes if it
+differs in more coordinates than a similar pair does but for a chance of about 1e-9.
 
 Results. Null, empty and white-space texts have no shingles and are linked with nothing. A text of fewer than
 k words is one shingle. Rows with a null id are left as their own class (component null). Rows that repeat an id share
@@ -166,18 +168,34 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ <= _most_different(percent / 100))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, fan: int = 512) -> DataFrame:
-    """Those of the pairs (u, v) whose full sets are similar enough.
+#: Up to so many ids (some 40 MB) go to all tasks to pick their texts; beyond, texts and ids are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-    A center u can stand in very many pairs: its set is copied once for each fan of its pairs,
-    so that no task gets all pairs of one center.
+
+def _compared(pairs: DataFrame, rows: DataFrame, k: int, scratch: Scratch, name: str, added: bool = False, fan: int = 512) -> DataFrame:
+    """Sizes of the full sets of each pair (u, v) and of their intersection; with added, also v's shingles that u lacks.
+
+    Full sets are only made for documents in a pair. A hub u can stand in very many pairs: its set is copied
+    once for each fan of its pairs, so that no task gets all pairs of one hub.
     """
-    salted = F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")
-    centers = pairs.groupBy("u").agg(F.ceil(F.count("*") / fan).cast("int").alias("salts"))
-    with_v = pairs.join(centers, "u").select("u", "v", salted.alias("salt")).join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    left = centers.join(sets, centers.u == sets.id).select("u", F.col("shingles").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = F.size(F.array_intersect("a", "b"))
-    return with_v.join(left, ["u", "salt"]).where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v")
+    needed = scratch.keep(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), f"{name}-ids")
+    few = needed.count() <= BROADCAST_IDS
+    sets = scratch.keep(_full_sets(rows.join(F.broadcast(needed) if few else needed, "id", "left_semi"), k).dropDuplicates(["id"]), f"{name}-sets")
+    hubs = pairs.groupBy("u").agg(F.ceil(F.count("*") / fan).cast("int").alias("salts"))
+    salted = pairs.join(hubs, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
+    with_v = salted.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    left = hubs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    out = with_v.join(left, ["u", "salt"]).select(
+        "u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), F.size(F.array_intersect("a", "b")).alias("both"), *([F.array_except("b", "a").alias("added")] if added else [])
+    )
+    out = scratch.keep(out, name)
+    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-ids")
+    return out
+
+
+def _is_link(percent: int) -> Column:
+    return F.col("both") * 100 >= (F.col("nu") + F.col("nv") - F.col("both")) * percent
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, label: str = "minhash") -> tuple[DataFrame, Scratch]:
@@ -200,36 +218,51 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     entries = reps.select(F.explode("keys").alias("key"), "id")
     buckets = entries.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    # Entries of buckets with two members or more: what is left of the banding.
-    shared = scratch.keep(entries.join(buckets, "key"), "shared")
-    stars = shared.where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+    stars = scratch.keep(entries.join(buckets, "key").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct(), "stars")
+    star = _compared(stars, rows, k, scratch, "star", added=True)
+    links = scratch.keep(star.where(_is_link(percent)).select("u", "v"), "links-1")
+    found = scratch.keep(components(links, scratch, "cc-1"), "components-1")
+
+    def placed(members: DataFrame, found: DataFrame) -> DataFrame:
+        """Members with their component and that of their hub, which is a component of its own where no link was found."""
+        at = members.join(found.select(F.col("node").alias("v"), "component"), "v", "left").join(found.select(F.col("node").alias("u"), F.col("component").alias("main")), "u", "left")
+        return at.withColumn("component", F.coalesce("component", "v")).withColumn("main", F.coalesce("main", "u"))
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        at = pairs.join(traits.select(F.col("id").alias("v"), F.struct("n", "bits").alias("b")), "v")
+        at = pairs.distinct().join(traits.select(F.col("id").alias("v"), F.struct("n", "bits").alias("b")), "v")
         return at.join(traits.select(F.col("id").alias("u"), F.struct("n", "bits").alias("a")), "u").where(_possible("a", "b", percent)).select("u", "v")
 
-    first_pairs = scratch.keep(plausible(stars), "pairs-1")
-    links = _links(first_pairs, rows, reps, k, percent, scratch, "links-1")
-    found = scratch.keep(components(links, scratch, "cc-1"), "components-1")
-
-    # Second comparison: members outside the component of the bucket's center, with all members of other components.
-    member = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("component"))
-    center = found.select(F.col("node").alias("first"), F.col("component").alias("main"))
-    placed = member.join(center, "first", "left").withColumn("main", F.coalesce("main", "first"))
-    mixed = placed.groupBy("key").agg(F.max(F.col("component") != F.col("main")).alias("mixed")).where("mixed").select("key")
-    placed = scratch.keep(placed.join(mixed, "key", "left_semi").where("id <> first").join(traits, "id"), "placed")
-    aside = placed.where("component <> main").alias("a")
-    any_member = placed.alias("b")
-    crossing = (
-        aside.join(any_member, F.col("a.key") == F.col("b.key"))
-        .where((F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _possible("a", "b", percent))
-        .select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
-        .distinct()
-    )
-    second_pairs = scratch.keep(crossing, "pairs-2")
-    if not second_pairs.isEmpty():
-        more = _links(second_pairs, rows, reps, k, percent, scratch, "links-2")
-        found = scratch.keep(components(links.unionByName(more), scratch, "cc-2"), "components-2")
+    members = placed(star, found)
+    mixed = members.where("component <> main").select("u").distinct()
+    members = scratch.keep(members.join(mixed, "u", "left_semi").select("u", "v", "nu", "nv", "both", "added"), "members")
+    scratch.drop("star")
+
+    # Stars over (hub, added shingle): linear in the entries, they join families that their hub is not part of.
+    now = scratch.keep(placed(members, found).select("u", "v", "component", "main", F.explode("added").alias("s")), "added-1")
+    heads = now.groupBy("u", "s").agg(F.min(F.struct("v", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "s", "head")
+    second = now.join(heads, ["u", "s"]).where(F.col("component") != F.col("head.component")).select(F.col("head.v").alias("u"), "v")
+    tried = scratch.keep(plausible(second), "pairs-2")
+    more = _compared(tried, rows, k, scratch, "links-2").where(_is_link(percent)).select("u", "v")
+    links = links.unionByName(more)
+    found = scratch.keep(components(links, scratch, "cc-2"), "components-2")
+    scratch.drop("added-1")
+
+    # What is left: members outside their hub's component with members of other components.
+    late = placed(members, found)
+    entry = late.select("u", "v", "component", "main", F.explode("added").alias("s"))
+    keys = entry.groupBy("u", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "s")
+    entry = scratch.keep(entry.join(keys, ["u", "s"], "left_semi"), "added-2")
+    differ = F.col("a.component") != F.col("b.component")
+    pair = (F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v"))
+    sharing = entry.where("component <> main").alias("a").join(entry.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.s") == F.col("b.s")) & differ).select(*pair)
+    slim = scratch.keep(late.select("u", "v", "component", "main", "nu", "nv", "both"), "slim")
+    # Without a common added shingle two members share at most what the one that kept less of the hub kept.
+    shared = F.least("a.both", "b.both")
+    bound = shared * 100 >= (F.col("a.nv") + F.col("b.nv") - shared) * percent
+    bare = slim.where("component <> main").alias("a").join(slim.alias("b"), (F.col("a.u") == F.col("b.u")) & differ & bound).select(*pair)
+    third = scratch.keep(plausible(sharing.unionByName(bare)).join(tried, ["u", "v"], "left_anti"), "pairs-3")
+    last = _compared(third, rows, k, scratch, "links-3").where(_is_link(percent)).select("u", "v")
+    found = scratch.keep(components(links.unionByName(last), scratch, "cc-3"), "components-3")
 
     by_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n", "whole", F.coalesce("component", "rep").alias("component"), "copies"
@@ -241,12 +274,3 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"),
     ), scratch
 
-
-def _links(pairs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Verified links among candidate pairs; full sets are only made for documents in a pair."""
-    needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = rows.join(needed, "id", "left_semi")
-    sets = scratch.keep(_full_sets(texts, k).dropDuplicates(["id"]), f"{name}-sets")
-    links = scratch.keep(_verified(pairs, sets, percent), name)
-    scratch.drop(f"{name}-sets")
-    return links
