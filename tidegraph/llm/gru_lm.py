@@ -46,12 +46,12 @@ INPUTS = HEAD + SHAPES + 1
 STEPS = 24
 LANES = 128
 ROUNDS = 2
-STRETCH = 8
-#: A task trains on all its words up to so many, and on 1 / STRETCH of them beyond STRETCH times as many.
-LEAST_WORDS = 300_000
+STRETCH = 16
+#: A task trains on all its words up to about so many, and on 1 / STRETCH of them beyond STRETCH times as many.
+LEAST_WORDS = 100_000
 RATE = 0.08
 BROADCAST_WORDS = 1 << 18
-SCORE_WORDS = 6_000_000
+SCORE_WORDS = 2_500_000
 END = 0x1F3D5B79
 U = np.uint64
 F32 = np.float32
@@ -223,11 +223,11 @@ def sequence(codes: np.ndarray, shapes: np.ndarray, own: np.ndarray, v: Vocabula
     np.cumsum(lengths + 1, out=offsets[1:])
     n = int(offsets[-1])
     place = np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)
-    inputs, classes, words = np.full(n, INPUTS - 1, np.int64), np.full(n, END_CLASS, np.int64), np.zeros(n, np.int64)
+    inputs, classes, words = np.full(n, INPUTS - 1, np.int16), np.full(n, END_CLASS, np.int16), np.zeros(n, np.int16)
     known = np.full(n, -2, np.int64)  # the end
     head = number >= 0
-    inputs[place] = np.where(head, number, HEAD + shapes)
-    classes[place] = np.where(head, number // CLASS, HEAD_CLASSES + shapes)
+    inputs[place] = np.where(head, number, HEAD + shapes.astype(np.int16))
+    classes[place] = np.where(head, number // CLASS, HEAD_CLASSES + shapes.astype(np.int16))
     words[place] = np.where(head, number % CLASS, 0)
     known[place] = counts
     return inputs, classes, words, known, offsets
@@ -266,23 +266,38 @@ def score_texts(net: Network, inputs: np.ndarray, classes: np.ndarray, words: np
     return out
 
 
-def train_texts(net: Network, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, offsets: np.ndarray, keys: np.ndarray, rate: float) -> int:
-    """Train on a stretch of each text and return the number of words trained on."""
-    n = int(offsets[-1])
-    share = min(1.0, max(1 / STRETCH, LEAST_WORDS / max(n, 1)))
-    lengths = np.diff(offsets)
+def stretches(own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one stretch of each text, n+1 offsets of them, and whether it starts and ends with its text.
+
+    A stretch is 1 / STRETCH of the text, more in a small task, and starts where the text's hash says.
+    """
+    lengths = np.diff(own)
+    share = min(1.0, max(1 / STRETCH, LEAST_WORDS / max(int(own[-1]), 1)))
     take = np.maximum(np.ceil(lengths * share).astype(np.int64), np.minimum(lengths, 8))
-    # Where the stretch starts is set by the text's hash.
-    first = offsets[:-1] + (keys % np.maximum(lengths - take + 1, 1).astype(U)).astype(np.int64)
-    ends = np.cumsum(take)
-    at = np.arange(ends[-1]) - np.repeat(ends - take, take) + np.repeat(first, take)
-    fresh = np.zeros(len(at), bool)
-    fresh[ends - take] = True
+    skip = (keys % (lengths - take + 1).astype(U)).astype(np.int64)
+    offsets = np.zeros(len(own), np.int64)
+    np.cumsum(take, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(own[:-1] + skip - offsets[:-1], take)
+    return at, offsets, skip == 0, skip + take == lengths
+
+
+def train_texts(net: Network, codes: np.ndarray, shapes: np.ndarray, own: np.ndarray, v: Vocabulary, keys: np.ndarray, rate: float) -> int:
+    """Train on a stretch of each text and return the number of tokens trained on."""
+    at, offsets, starts, ends = stretches(own, keys)
+    inputs, classes, words, _, offsets = sequence(codes[at], shapes[at], offsets, v)
     before = shifted(inputs, offsets)
-    lanes = int(min(LANES, max(1, len(at) // STEPS)))
-    m = len(at) // lanes
+    fresh = np.zeros(len(inputs), bool)
+    # The end is only a target where the stretch reaches it; a word cut off from those before it is only context.
+    target = np.ones(len(inputs), bool)
+    target[offsets[1:][~ends] - 1] = False
+    target[offsets[:-1][~starts]] = False
+    first = offsets[:-1] + ~starts
+    fresh[first[first < len(fresh)]] = True
+    before, classes, words, fresh = before[target], classes[target], words[target], fresh[target]
+    lanes = int(min(LANES, max(1, len(before) // STEPS)))
+    m = len(before) // lanes
     lane = lambda a: a[: m * lanes].reshape(lanes, m).T
-    x, c, w, f = lane(before[at]), lane(classes[at]), lane(words[at]), lane(fresh)
+    x, c, w, f = lane(before), lane(classes), lane(words), lane(fresh)
     h = np.zeros((lanes, HIDDEN), F32)
     for t in range(0, m, STEPS):
         h = net.train(x[t : t + STEPS], c[t : t + STEPS], w[t : t + STEPS], f[t : t + STEPS], h, rate)
@@ -349,7 +364,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[l
 
 def _joined(kept: list) -> tuple[list[tb.Chunk], np.ndarray, np.ndarray, np.ndarray]:
     own = np.concatenate([[0], *[k[3][1:] - k[3][:-1] for k in kept]]).cumsum()
-    return [k[0] for k in kept], np.concatenate([k[1] for k in kept]), np.concatenate([k[2] for k in kept]).astype(np.int64), own
+    return [k[0] for k in kept], np.concatenate([k[1] for k in kept]), np.concatenate([k[2] for k in kept]), own
 
 
 def trained(rows: DataFrame, v: Vocabulary, ends: int) -> Network:
@@ -364,12 +379,11 @@ def trained(rows: DataFrame, v: Vocabulary, ends: int) -> Network:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             own_net = Network({k: a.copy() for k, a in shared.value.items()})
             done, key = 0, 0
-            for _, codes, shapes, own in _gathered(batches, SCORE_WORDS // 2):
-                inputs, classes, words, _, offsets = sequence(codes, shapes, own, shared_v.value)
+            for _, codes, shapes, own in _gathered(batches, SCORE_WORDS):
                 sums = np.zeros(len(codes) + 1, U)
                 np.cumsum(codes, out=sums[1:])
                 keys = tb.mix(sums[own[1:]] - sums[own[:-1]] + U(r))
-                done += train_texts(own_net, inputs, classes, words, offsets, keys, RATE / (1 + r))
+                done += train_texts(own_net, codes, shapes, own, shared_v.value, keys, RATE / (1 + r))
                 key = int(keys[0] >> U(1)) if len(keys) else key
             if done:
                 flat = np.concatenate([own_net.p[k].ravel() for k in Network.NAMES]).astype(np.float64) * done
