@@ -329,7 +329,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
             break
         least, room = c, room - kept[c]
     common = counts.where(F.col("shape") >= 0)
-    if least > 1000:  # even the words of 1000 and more are too many: the commonest of them, by slices of their count
+    if least > 1000 and kept:  # even the words of 1000 and more are too many: the commonest of them, by slices of their count
         high = [r[0] for r in common.where("c >= 1000").stat.approxQuantile(["c"], [max(0.0, 1 - BROADCAST_WORDS / 2 / kept[1000])], 0.0001)]
         least = int(high[0]) + 1
     got = common.where(F.col("c") >= least).select("hash", "c", "shape").toPandas().sort_values(["c", "hash"], ascending=[False, True])

@@ -117,6 +117,7 @@ def shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text", dims: di
     if law not in ("bytes", "rows"):
         raise ValueError("law is bytes or rows")
     scratch = Scratch(docs.sparkSession, label)
+    dims = {f"dim_{n}": c for n, c in dims.items()}
     rows = scratch.keep(points(docs, key=key, text=text, dims=dims, weight=law), "points")
     names = list(dims)
     measures = lambda: [F.sum("w").alias("w"), *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("min", F.min), ("max", F.max), ("sd", F.stddev_pop))]]
