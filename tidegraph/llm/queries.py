@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.io import table
 from tidegraph.llm import decontaminate, gru_lm, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, suffix_repeats, weak_rules
+from tidegraph.llm.license_sql import license_sql
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -88,7 +89,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
 
-@LLM.query()
+@LLM.query(license_sql())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document; its path is source/lang/doc_id."""
     docs = table(spark, sf_dir, "documents")
