@@ -133,3 +133,20 @@ def test_qualifier_dates(spark):
     df = spark.createDataFrame([(2023, 2, 31), (2024, 2, 30), (2024, 13, 1), (2024, 1, 5)], "y int, m int, d int")
     got = [r.t for r in df.select(F.date_format(F.timestamp_seconds(tp.qualifier_timestamp(F.col("y"), F.col("m"), F.col("d"))), "yyyy-MM-dd").alias("t")).collect()]
     assert got == ["2023-02-28", "2024-02-29", None, "2024-01-05"]
+
+
+def test_parsed_revisions_against_loop(spark):
+    rng, rows, expected = random.Random(7), [], set()
+    for page in range(40):
+        t, passed, before = 0, 0, None
+        for k in range(rng.randint(1, 30)):
+            t += rng.choice([10, 100, 5000])
+            eligible = rng.random() < 0.8
+            rows.append((page, t, k, eligible))
+            if before and before[2] and (t - before[0] > 1800 or passed > 4):
+                expected.add((page, before[1]))
+                passed = 0
+            passed += 1
+            before = (t, k, eligible)
+    df = spark.createDataFrame(rows, "page bigint, ts bigint, revision bigint, eligible boolean")
+    assert {(r.page, r.revision) for r in tp.parsed_revisions(df, 1800, 3).collect()} == expected

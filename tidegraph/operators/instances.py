@@ -146,3 +146,24 @@ def operation_counts(triples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Matched and kept triples of each operation with the kept share (G2, G3, G22). Needs operation and kept."""
     out = triples.groupBy(*by, "operation").agg(F.count("*").alias("matched"), F.count_if("kept").alias("kept"))
     return out.withColumn("share", F.col("kept") / F.col("matched"))
+
+
+def normalized_actions(action: Column, to_ts: Column, window_end: Column, qualifier_action: Column) -> Column:
+    """What happened to a matched triple, as names in a fixed order.
+
+    A removal counts only if the triple's life ends within the window; a triple without any action is to be dropped.
+    """
+    removed = (action == 0) & to_ts.isNotNull() & (to_ts <= window_end)
+    return F.array_compact(
+        F.array(
+            F.when(removed, F.lit("removed_edge")), F.when(action == 1, F.lit("added_edge")),
+            F.when(qualifier_action == 0, F.lit("qualifier_removed_edge")), F.when(qualifier_action == 1, F.lit("qualifier_added_edge")),
+        )
+    )
+
+
+def with_actions(triples: DataFrame) -> DataFrame:
+    """Matched triples with their actions and life span (R5). Needs action, from_ts, to_ts, window_end, qualifier_action; those without an action go."""
+    out = triples.withColumn("actions", normalized_actions(F.col("action"), F.col("to_ts"), F.col("window_end"), F.col("qualifier_action")))
+    date = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd")
+    return out.where(F.size("actions") > 0).withColumn("triple_lifespan_timestamp", F.array("from_ts", "to_ts")).withColumn("triple_lifespan_date", F.array(date(F.col("from_ts")), date(F.col("to_ts"))))

@@ -241,3 +241,23 @@ def interval_days(start: Column, end: Column) -> Column:
 def window_ids(df: DataFrame, spans: DataFrame, ts: str = "ts") -> DataFrame:
     """Windows (k, from_ts, to_ts) that hold each row's time, both bounds included (T27). spans is a small generated table."""
     return df.join(F.broadcast(spans), F.col(ts).between(F.col("from_ts"), F.col("to_ts")))
+
+
+def parsed_revisions(revisions: DataFrame, span: int, most: int, key: str = "page") -> DataFrame:
+    """Revisions worth parsing (F24): (key, revision), from columns key, ts, revision, eligible.
+
+    A revision is parsed when the next one comes later than span seconds, or when more than most + 1 were passed over
+    since the last parsed one; the last revision of a page has no next one. A page's revisions go through one fold.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("ts", "revision", "eligible")))
+    kind = revisions.schema["revision"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(0).alias("passed"), F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast(kind).alias("revision"), F.lit(False).alias("eligible"))
+
+    def step(s: Column, r: Column) -> Column:
+        parse = F.coalesce(s["eligible"] & ((r["ts"] - s["ts"] > span) | (s["passed"] > most + 1)), F.lit(False))
+        return F.struct(
+            F.when(parse, F.concat(s["kept"], F.array(s["revision"]))).otherwise(s["kept"]).alias("kept"), (F.when(parse, 0).otherwise(s["passed"]) + 1).alias("passed"),
+            r["ts"].cast("bigint").alias("ts"), r["revision"].alias("revision"), r["eligible"].alias("eligible"),
+        )
+
+    return revisions.groupBy(key).agg(F.aggregate(rows, start, step, lambda s: s["kept"]).alias("kept")).select(key, F.explode("kept").alias("revision"))
