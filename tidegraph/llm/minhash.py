@@ -15,8 +15,8 @@ Pairs without the square of a group:
    links found give components. Two candidates share a bucket, so both are in the star of its hub.
 3. A member is the hub's set less some shingles, plus added ones. Two members without a common added shingle share
    at most what both kept of the hub, which the sizes bound; mostly that rules the pair out. So members of
-   different components are only compared (a) if they have a common added shingle, by stars over (hub, shingle) first and
-   then, where components still differ, pair by pair, or (b) if the bound without a common one allows it.
+   different components are only compared (a) if they have a common added shingle among the rare ones that a prefix
+   filter keeps, by stars over (hub, shingle) first and then, where components still differ, pair by pair, or (b) if the bound without a common one allows it.
    Members of one component need no comparison, as only components count. No possible link between different
    components is left out, so the components are those of all links among candidates.
 Pairs of step 3 first pass a test of sizes and sketches: two bits of each coordinate are compared, and a pair goes if it
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegraph.llm import textbatch as tb
 from tidegraph.llm.components import components
@@ -237,30 +238,40 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     members = scratch.keep(members.join(mixed, "u", "left_semi").select("u", "v", "nu", "nv", "both", "added"), "members")
     scratch.drop("star")
 
+    # Prefix filter: a link needs so many common added shingles that, in one order of them, the pair meets among the
+    # first of both members' lists. Rare ones come first, so passages of many documents hardly make a pair.
+    entry = members.select("u", "v", "nv", "both", F.size("added").alias("size"), F.explode("added").alias("s"))
+    counted = entry.join(entry.groupBy("u", "s").agg(F.count("*").alias("c")), ["u", "s"])
+    need = F.ceil(F.col("nv") * percent / 100) - F.col("both")
+    rank = F.row_number().over(Window.partitionBy("u", "v").orderBy("c", "s"))
+    prefix = counted.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.greatest(need, F.lit(1)) + 1) & (F.col("c") > 1)).select("u", "v", "s")
+    prefix = scratch.keep(prefix, "prefix")
+
     # Stars over (hub, added shingle): linear in the entries, they join families that their hub is not part of.
-    now = scratch.keep(placed(members, found).select("u", "v", "component", "main", F.explode("added").alias("s")), "added-1")
+    now = placed(prefix, found)
     heads = now.groupBy("u", "s").agg(F.min(F.struct("v", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "s", "head")
     second = now.join(heads, ["u", "s"]).where(F.col("component") != F.col("head.component")).select(F.col("head.v").alias("u"), "v")
     tried = scratch.keep(plausible(second), "pairs-2")
     more = _compared(tried, rows, k, scratch, "links-2").where(_is_link(percent)).select("u", "v")
     links = links.unionByName(more)
     found = scratch.keep(components(links, scratch, "cc-2"), "components-2")
-    scratch.drop("added-1")
 
     # What is left: members outside their hub's component with members of other components.
-    late = placed(members, found)
-    entry = late.select("u", "v", "component", "main", F.explode("added").alias("s"))
+    entry = placed(prefix, found)
     keys = entry.groupBy("u", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "s")
-    entry = scratch.keep(entry.join(keys, ["u", "s"], "left_semi"), "added-2")
+    looks = traits.withColumnRenamed("id", "v")
+    entry = scratch.keep(entry.join(keys, ["u", "s"], "left_semi").join(looks, "v"), "prefix-2")
     differ = F.col("a.component") != F.col("b.component")
+    possible = _possible("a", "b", percent)
     pair = (F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v"))
-    sharing = entry.where("component <> main").alias("a").join(entry.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.s") == F.col("b.s")) & differ).select(*pair)
-    slim = scratch.keep(late.select("u", "v", "component", "main", "nu", "nv", "both"), "slim")
+    sharing = entry.where("component <> main").alias("a").join(entry.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.s") == F.col("b.s")) & differ & possible).select(*pair)
+    slim = scratch.keep(placed(members.select("u", "v", "nv", "both"), found).join(looks, "v"), "slim")
     # Without a common added shingle two members share at most what the one that kept less of the hub kept.
     shared = F.least("a.both", "b.both")
     bound = shared * 100 >= (F.col("a.nv") + F.col("b.nv") - shared) * percent
-    bare = slim.where("component <> main").alias("a").join(slim.alias("b"), (F.col("a.u") == F.col("b.u")) & differ & bound).select(*pair)
-    third = scratch.keep(plausible(sharing.unionByName(bare)).join(tried, ["u", "v"], "left_anti"), "pairs-3")
+    bare = slim.where("component <> main").alias("a").join(slim.alias("b"), (F.col("a.u") == F.col("b.u")) & differ & bound & possible).select(*pair)
+    third = scratch.keep(sharing.unionByName(bare).distinct(), "pairs-3")
+    third = scratch.keep(third.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs-4")
     last = _compared(third, rows, k, scratch, "links-3").where(_is_link(percent)).select("u", "v")
     found = scratch.keep(components(links.unionByName(last), scratch, "cc-3"), "components-3")
 
