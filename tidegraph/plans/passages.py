@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions import assignment as pyfn
@@ -12,18 +14,17 @@ from tidegraph.operators import curation, instances, joins
 from tidegraph.plans import REGISTRY
 
 query = REGISTRY.query
-TXT = F.col("text")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-def simple(name: str, select: dict, oracle: str, source: str = "documents", key: str = "doc_id") -> None:
-    """Register a projection of one table."""
+def simple(name: str, select: Callable[[], dict], oracle: str, source: str = "documents", key: str = "doc_id") -> None:
+    """Register a projection of one table; select makes its columns when a session is there."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, source).select(*([key] if isinstance(key, str) else key), *[c.alias(n) for n, c in select.items()])
+        return table(spark, sf, source).select(*([key] if isinstance(key, str) else key), *[c.alias(n) for n, c in select().items()])
 
     run.__name__ = name
     run.__doc__ = f"Projection {name} of {source}."
@@ -31,32 +32,34 @@ def simple(name: str, select: dict, oracle: str, source: str = "documents", key:
 
 
 BRACES = "(length(text) - length(translate(text, '{}|', '')))"
-simple("special_char_ratio", {"ratio": F.round(tx.special_ratio(TXT), 6), "keep": tx.special_ratio(TXT) <= 0.1}, f"SELECT doc_id, round({BRACES} / CAST(len(string_split(text, ' ')) AS DOUBLE), 6) AS ratio, {BRACES} / CAST(len(string_split(text, ' ')) AS DOUBLE) <= 0.1 AS keep FROM documents")
-simple("length_window", {"tokens": tx.n_tokens(TXT), "keep": tx.n_tokens(TXT).between(25, 1000)}, "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INT) AS tokens, len(string_split(text, ' ')) BETWEEN 25 AND 1000 AS keep FROM documents")
-simple("star_groups", {"groups": tx.star_groups(TXT)}, r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\*+')) AS INT) AS groups FROM documents")
-NOISE = F.concat(F.col("source"), F.lit(": "), TXT)
+simple("special_char_ratio", lambda: {"ratio": F.round(tx.special_ratio(F.col("text")), 6), "keep": tx.special_ratio(F.col("text")) <= 0.1}, f"SELECT doc_id, round({BRACES} / CAST(len(string_split(text, ' ')) AS DOUBLE), 6) AS ratio, {BRACES} / CAST(len(string_split(text, ' ')) AS DOUBLE) <= 0.1 AS keep FROM documents")
+simple("length_window", lambda: {"tokens": tx.n_tokens(F.col("text")), "keep": tx.n_tokens(F.col("text")).between(25, 1000)}, "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INT) AS tokens, len(string_split(text, ' ')) BETWEEN 25 AND 1000 AS keep FROM documents")
+simple("star_groups", lambda: {"groups": tx.star_groups(F.col("text"))}, r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\*+')) AS INT) AS groups FROM documents")
+def _noise() -> Column:
+    return F.concat(F.col("source"), F.lit(": "), F.col("text"))
+
+
 simple(
-    "line_noise_check", {"ok": tx.line_noise_ok(NOISE)},
+    "line_noise_check", lambda: {"ok": tx.line_noise_ok(_noise())},
     r"WITH p AS (SELECT doc_id, source || ': ' || text AS p, trim(text, ' ') AS body FROM documents), f AS (SELECT doc_id, source_low, len(string_split(body, ' ')) AS w, length(body) - length(translate(body, '|:', '')) AS marks, len(regexp_extract_all(p, '\*+')) AS stars, "
     "lower(body) AS low FROM (SELECT p.*, lower(trim(split_part(p, ':', 1))) AS source_low FROM p)), s AS (SELECT *, starts_with(low, '==see also==') OR starts_with(low, '== see also ==') AS see FROM f) "
     "SELECT doc_id, CASE WHEN marks > 0 AND w < 3 * marks THEN FALSE WHEN stars > 1 THEN contains(source_low, 'list of') OR contains(low, '==cast==') OR contains(low, '== cast ==') OR w >= stars ELSE NOT (see AND w < 2) END AS ok FROM s",
 )
-simple("short_hash", {"h": tx.short_hash(TXT, 8)}, "SELECT doc_id, substr(translate(rtrim(to_base64(unhex(sha256(text))), '='), '+/', '-_'), 1, 8) AS h FROM documents")
-simple("first_n_tokens", {"head": tx.first_tokens(TXT, 20)}, "SELECT doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') AS head FROM documents")
-simple("template_residue", {"residue": TXT.contains("{{"), "table": TXT.contains(" | ")}, "SELECT doc_id, contains(text, '{{') AS residue, contains(text, ' | ') AS \"table\" FROM documents")
-simple("label_normalize", {"label": tx.normalize_label(F.left(TXT, F.lit(60)))}, r"SELECT conv_id, turn, trim(regexp_replace(lower(replace(left(text, 60), '_', ' ')), '\s+', ' ', 'g')) AS label FROM conversations", "conversations", ["conv_id", "turn"])
-simple("skipped_paragraphs", {"skip": tx.is_skipped_paragraph(F.concat(F.when(F.col("doc_id") % 5 == 0, "File:").when(F.col("doc_id") % 7 == 0, "{{x").otherwise(""), TXT))}, r"SELECT doc_id, regexp_matches(trim(CASE WHEN doc_id % 5 = 0 THEN 'File:' WHEN doc_id % 7 = 0 THEN '{{x' ELSE '' END || text), '^(\{\{|\[*(File|Image|Category|Wiktionary):)') AS skip FROM documents")
-FLAGGED = F.array_join(tx.degenerate_flags(TXT), ",")
+simple("short_hash", lambda: {"h": tx.short_hash(F.col("text"), 8)}, "SELECT doc_id, substr(translate(rtrim(to_base64(unhex(sha256(text))), '='), '+/', '-_'), 1, 8) AS h FROM documents")
+simple("first_n_tokens", lambda: {"head": tx.first_tokens(F.col("text"), 20)}, "SELECT doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') AS head FROM documents")
+simple("template_residue", lambda: {"residue": F.col("text").contains("{{"), "table": F.col("text").contains(" | ")}, "SELECT doc_id, contains(text, '{{') AS residue, contains(text, ' | ') AS \"table\" FROM documents")
+simple("label_normalize", lambda: {"label": tx.normalize_label(F.left(F.col("text"), F.lit(60)))}, r"SELECT conv_id, turn, trim(regexp_replace(lower(replace(left(text, 60), '_', ' ')), '\s+', ' ', 'g')) AS label FROM conversations", "conversations", ["conv_id", "turn"])
+simple("skipped_paragraphs", lambda: {"skip": tx.is_skipped_paragraph(F.concat(F.when(F.col("doc_id") % 5 == 0, "File:").when(F.col("doc_id") % 7 == 0, "{{x").otherwise(""), F.col("text")))}, r"SELECT doc_id, regexp_matches(trim(CASE WHEN doc_id % 5 = 0 THEN 'File:' WHEN doc_id % 7 = 0 THEN '{{x' ELSE '' END || text), '^(\{\{|\[*(File|Image|Category|Wiktionary):)') AS skip FROM documents")
 
 
 @query()
 def degenerate_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Flags of degenerate text; the repeated-mark rule needs a back reference, which the oracle's expressions lack."""
-    return docs(spark, sf).select("doc_id", FLAGGED.alias("flags"))
+    return docs(spark, sf).select("doc_id", F.array_join(tx.degenerate_flags(F.col("text")), ",").alias("flags"))
 
 
 simple(
-    "word_flags", {"n": F.size(tx.words(TXT)), "few": F.size(tx.words(TXT)) < 3, "low_unique": (F.size(tx.words(TXT)) >= 4) & (F.size(F.array_distinct(tx.words(TXT))) < F.size(tx.words(TXT)) * 0.3)},
+    "word_flags", lambda: {"n": F.size(tx.words(F.col("text"))), "few": F.size(tx.words(F.col("text"))) < 3, "low_unique": (F.size(tx.words(F.col("text"))) >= 4) & (F.size(F.array_distinct(tx.words(F.col("text")))) < F.size(tx.words(F.col("text"))) * 0.3)},
     r"WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9_]', ' ', 'g'), '\w+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INT) AS n, len(w) < 3 AS few, len(w) >= 4 AND len(list_distinct(w)) < len(w) * 0.3 AS low_unique FROM w",
 )
 
@@ -76,7 +79,7 @@ SHORT = f"SELECT doc_id, source, left(text, 300) AS text FROM documents WHERE {A
 
 
 def _short(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).where(TXT.rlike(r"\A[\x00-\x7F]*\z") & (F.length("text") < 900)).select("doc_id", "source", F.left("text", F.lit(300)).alias("text"))
+    return docs(spark, sf).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & (F.length("text") < 900)).select("doc_id", "source", F.left("text", F.lit(300)).alias("text"))
 
 
 @query(f"WITH s AS ({SHORT}) SELECT a.source, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE least(length(a.text), length(b.text)) >= 0.8 * greatest(length(a.text), length(b.text)) AND levenshtein(a.text, b.text) <= 0.2 * (length(a.text) + length(b.text))")
@@ -120,13 +123,13 @@ def paragraph_novelty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH t AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), s AS (SELECT doc_id, t, unnest(generate_series(1, greatest(len(t) - 10, 1), 90)) AS s FROM t) SELECT doc_id, CAST((s - 1) // 90 AS INT) AS k, array_to_string(t[s:s + 99], ' ') AS chunk FROM s")
 def chunk_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.posexplode(tx.chunks(TXT, 100, 10)).alias("k", "chunk"))
+    return docs(spark, sf).select("doc_id", F.posexplode(tx.chunks(F.col("text"), 100, 10)).alias("k", "chunk"))
 
 
 @query()
 def sentence_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences packed up to a token limit: a fold, so the oracle is a brute-force test."""
-    return docs(spark, sf).select("doc_id", F.posexplode(tx.pack_sentences(TXT, 120)).alias("k", "chunk"))
+    return docs(spark, sf).select("doc_id", F.posexplode(tx.pack_sentences(F.col("text"), 120)).alias("k", "chunk"))
 
 
 LEXICON = ["the", "of", "and", "to", "in", "that", "it", "is", "was", "for"]
@@ -140,12 +143,13 @@ def english_word_share(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(F.broadcast(lex), F.col("t") == F.col("w"), "left").groupBy("doc_id").agg(F.round(100.0 * F.count("w") / F.count("*"), 6).alias("share"))
 
 
-VERDICT_TEXT = F.concat(F.lit("["), F.lit("Q"), F.col("conv_id"), F.lit(" (a), P1 (b), Q"), F.col("turn"), F.lit(" (c)] "), F.when(F.length("text") % 2 == 0, "YES").otherwise("NO"), F.lit(" because"))
+def _verdict_text() -> Column:
+    return F.concat(F.lit("["), F.lit("Q"), F.col("conv_id"), F.lit(" (a), P1 (b), Q"), F.col("turn"), F.lit(" (c)] "), F.when(F.length("text") % 2 == 0, "YES").otherwise("NO"), F.lit(" because"))
 
 
 @query("SELECT conv_id, turn, 'Q' || conv_id AS head, 'P1' AS relation, 'Q' || turn AS tail, length(text) % 2 = 0 AS verdict FROM conversations")
 def verdict_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.verdicts(VERDICT_TEXT)).alias("v")).select("conv_id", "turn", "v.*")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.verdicts(_verdict_text())).alias("v")).select("conv_id", "turn", "v.*")
 
 
 @query("SELECT conv_id, turn, CAST(length(text) AS INT) AS n FROM conversations")
@@ -197,37 +201,38 @@ def template_strip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "<[^>]*>", "")).alias("plain"))
 
 
-WIKI = F.concat(F.lit("'''Page''' {{a|{{b}}}} on [["), F.col("source"), F.lit("|the source]] and [["), F.col("lang"), F.lit("]]. {{nowrap|kept}} <!-- no --> "), F.left("text", F.lit(30)))
+def _wiki() -> Column:
+    return F.concat(F.lit("'''Page''' {{a|{{b}}}} on [["), F.col("source"), F.lit("|the source]] and [["), F.col("lang"), F.lit("]]. {{nowrap|kept}} <!-- no --> "), F.left("text", F.lit(30)))
 
 
 @query()
 def wikitext_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Two-stage cleaning: balanced templates by Arrow batches, everything else by expressions."""
-    return docs(spark, sf).select("doc_id", tx.clean_wikitext(pyfn.strip_balanced(F.regexp_replace(WIKI, r"\{\{nowrap\|([^{}]*)\}\}", "$1"))).alias("plain"))
+    return docs(spark, sf).select("doc_id", tx.clean_wikitext(pyfn.strip_balanced(F.regexp_replace(_wiki(), r"\{\{nowrap\|([^{}]*)\}\}", "$1"))).alias("plain"))
 
 
 @query("SELECT doc_id, source AS target, 'the source' AS mention FROM documents UNION ALL SELECT doc_id, lang, lang FROM documents")
 def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.explode(tx.links(WIKI)).alias("l")).select("doc_id", "l.target", F.col("l.text").alias("mention"))
+    return docs(spark, sf).select("doc_id", F.explode(tx.links(_wiki())).alias("l")).select("doc_id", "l.target", F.col("l.text").alias("mention"))
 
 
 @query()
 def mention_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Offsets of link labels in the plain text: a fold over the text."""
-    found = docs(spark, sf).select("doc_id", pyfn.mention_offsets(WIKI).alias("m"))
+    found = docs(spark, sf).select("doc_id", pyfn.mention_offsets(_wiki()).alias("m"))
     return found.select("doc_id", F.explode("m.mentions").alias("x")).select("doc_id", "x.*")
 
 
 @query()
 def coreference(spark: SparkSession, sf: str) -> DataFrame:
     """Later plain mentions of labels that a page linked before."""
-    pages = docs(spark, sf).select(F.col("doc_id").alias("page"), F.array(WIKI, F.concat(F.lit("Again the source, and "), F.col("lang"), F.lit("."))).alias("paragraphs"))
+    pages = docs(spark, sf).select(F.col("doc_id").alias("page"), F.array(_wiki(), F.concat(F.lit("Again the source, and "), F.col("lang"), F.lit("."))).alias("paragraphs"))
     return pages.mapInPandas(pyfn.corefer, pyfn.COREFERENCES)
 
 
 @query("WITH t AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE text LIKE '% the %'), a AS (SELECT doc_id, strpos(text, ' the ') AS p, text FROM documents WHERE text LIKE '% the %'), s AS (SELECT doc_id, string_split(trim(left(text, p - 1), ' '), ' ') AS b, string_split(trim(substr(text, p + 5), ' '), ' ') AS c FROM a) SELECT doc_id, trim(array_to_string(b[greatest(len(b) - 2, 1):], ' ') || '  the  ' || array_to_string(c[1:3], ' '), ' ') AS around FROM s")
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).where("text LIKE '% the %'").select("doc_id", tx.context(TXT, F.lit(" the "), 3).alias("around"))
+    return docs(spark, sf).where("text LIKE '% the %'").select("doc_id", tx.context(F.col("text"), F.lit(" the "), 3).alias("around"))
 
 
 @query()
