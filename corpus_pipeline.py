@@ -19,10 +19,17 @@ from tidegraph.llm.store import Scratch
 REDACTED = "[redacted]"
 
 
+def _own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no operator's columns clash with, and the new name of each column."""
+    names = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules reject go."""
-    judged = weak_rules.quality(docs, keep=docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    renamed, names = _own_names(docs)
+    judged = weak_rules.quality(renamed, text=names["text"], keep=[*names.values()])
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +57,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced; no document goes."""
-    found = secrets.find_secrets(docs, keep=docs.columns, redact=REDACTED)
-    text = F.when(F.col("text").isNotNull(), F.col("redacted")).alias("text")
-    length = F.when(F.col("text").isNotNull() & F.col("n_chars").isNotNull(), F.length("redacted").cast("bigint")).alias("n_chars")
-    changed = {"text": text, "n_chars": length}
-    return found.select(*[changed.get(c, F.col(c)) for c in docs.columns])
+    renamed, names = _own_names(docs)
+    found = secrets.find_secrets(renamed, text=names["text"], keep=[*names.values()], redact=REDACTED)
+    changed = {"text": F.when(F.col(names["text"]).isNotNull(), F.col("redacted"))}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(F.col(names["text"]).isNotNull() & F.col(names["n_chars"]).isNotNull(), F.length("redacted").cast("bigint"))
+    return found.select(*[changed.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
