@@ -539,8 +539,10 @@ def test_pipeline_on_odd_rows(spark, odd, tmp_path):
 
     bench = spark.createDataFrame([(1, None)], "item_id bigint, text string")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
-    for rows in (odd, empty(odd)):
+    clashing = odd.withColumns({c: F.lit("mine") for c in ("kept", "n_words", "pattern", "spans", "redacted", "u", "component")})
+    for rows in (clashing, empty(clashing)):
         docs = rows
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, str(tmp_path))
-        docs.collect()
+            assert docs.columns == rows.columns
+        corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
