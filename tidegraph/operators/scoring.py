@@ -93,7 +93,8 @@ def assigned_scores(gold: DataFrame, predicted: DataFrame, key: str, vector: str
     """Scores by optimal assignment of cosines within each key (M3, M4): a cogrouped pandas function; keys are instances."""
 
     def one(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        pack = lambda f: np.array(list(f[vector]), float).reshape(len(f), -1)
+        # A side without rows comes without columns too.
+        pack = lambda f: np.array(list(f[vector]), float).reshape(len(f), -1) if len(f) else np.zeros((0, 1))
         name = (g if len(g) else p)[key].iloc[0]
         return pd.DataFrame([(name, len(g), len(p), *match_score(pack(g), pack(p), epsilon))], columns=[key, "gold", "predicted", "precision", "recall", "f1"])
 
