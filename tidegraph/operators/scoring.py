@@ -93,10 +93,11 @@ def assigned_scores(gold: DataFrame, predicted: DataFrame, key: str, vector: str
     """Scores by optimal assignment of cosines within each key (M3, M4): a cogrouped pandas function; keys are instances."""
 
     def one(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        # A side without rows comes without columns too.
-        pack = lambda f: np.array(list(f[vector]), float).reshape(len(f), -1) if len(f) else np.zeros((0, 1))
-        name = (g if len(g) else p)[key].iloc[0]
-        return pd.DataFrame([(name, len(g), len(p), *match_score(pack(g), pack(p), epsilon))], columns=[key, "gold", "predicted", "precision", "recall", "f1"])
+        # A side without rows may come without its columns.
+        size = lambda f: len(f) if vector in f.columns else 0
+        pack = lambda f: np.array(list(f[vector]), float).reshape(len(f), -1) if size(f) else np.zeros((0, 1))
+        name = (g if size(g) else p)[key].iloc[0]
+        return pd.DataFrame([(name, size(g), size(p), *match_score(pack(g), pack(p), epsilon))], columns=[key, "gold", "predicted", "precision", "recall", "f1"])
 
     kind = gold.schema[key].dataType.simpleString()
     return gold.groupBy(key).cogroup(predicted.groupBy(key)).applyInPandas(one, f"{key} {kind}, gold bigint, predicted bigint, precision double, recall double, f1 double")
