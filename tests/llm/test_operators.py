@@ -174,6 +174,26 @@ def test_probabilities_sum_to_one():
     assert abs(head + rest - 1) < 1e-6
 
 
+@pytest.mark.parametrize("lengths", [[], [0], [3, 0, 5], [700] * 7 + [1], [1000] * 1700], ids=len)
+def test_training_takes_every_token(lengths):
+    seen, starts = np.zeros(gru_lm.CLASSES * gru_lm.CLASS, int), []
+
+    class Seen(gru_lm.Network):
+        def train(self, inputs, classes, words, fresh, h, rate):
+            assert h.shape == (inputs.shape[1], gru_lm.HIDDEN)
+            seen[:] += np.bincount(classes.ravel().astype(int) * gru_lm.CLASS + words.ravel(), minlength=len(seen))
+            starts.append(fresh.sum())
+            return h
+
+    v = gru_lm.Vocabulary(np.arange(1, 6, dtype=np.uint64), np.array([9, 7, 5, 3, 2]), 40, 9, np.arange(gru_lm.SHAPES), np.ones(gru_lm.SHAPES, int), np.arange(1, 6, dtype=np.uint64))
+    own = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+    codes = np.random.default_rng(3).integers(1, 9, own[-1]).astype(np.uint64)
+    shapes = (codes % 7).astype(np.int8)
+    _, classes, words, _, offsets = gru_lm.sequence(codes, shapes, own, v)
+    assert gru_lm.train_texts(Seen.start(v, 4), codes, shapes, own, v, 0.1) == offsets[-1] == own[-1] + len(lengths)
+    assert (seen == np.bincount(classes.astype(int) * gru_lm.CLASS + words, minlength=len(seen))).all() and sum(starts) == len(lengths)
+
+
 # 3
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

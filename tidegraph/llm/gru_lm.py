@@ -8,9 +8,8 @@ all words, unknown ones too, have a probability, and the score is that of the wh
 
 Training. Each task of the corpus trains a copy of the network on its own training texts by backpropagation truncated to
 windows of STEPS words, with the state carried on from window to window; the copies are averaged, weighted by their
-words, in a tree of two levels, and the next round starts from the average. Every training text takes part with
-a stretch of at least 1 / STRETCH of its words (all of it in small tasks), so what is learnt from grows with the corpus.
-Counts (of words, shapes, training tokens) are those of all training texts.
+words, in a tree of two levels, and the next round starts from the average. Every round trains on every token of
+every training text, whatever the size of the input. Counts (of words, shapes, training tokens) are those of all training texts.
 
 Scoring. Texts of a task run side by side, sorted by length; the state goes through the whole of each
 text, window by window. Counts of the BROADCAST_WORDS commonest words go to all tasks; those of all others are joined.
@@ -46,9 +45,6 @@ INPUTS = HEAD + SHAPES + 1
 STEPS = 24
 LANES = 128
 ROUNDS = 2
-STRETCH = 16
-#: A task trains on all its words up to about so many, and on 1 / STRETCH of them beyond STRETCH times as many.
-LEAST_WORDS = 100_000
 RATE = 0.08
 BROADCAST_WORDS = 1 << 18
 SCORE_WORDS = 2_500_000
@@ -147,9 +143,11 @@ class Network:
         """One step on a window [steps, lanes] from state h; fresh marks where a text starts. Returns the last state."""
         grads, h, _ = self.gradients(inputs, classes, words, fresh, h)
         for k, g in grads.items():
-            np.clip(g, -1, 1, out=g)
-            self.g[k] += g * g
-            self.p[k] -= F32(rate) * g / np.sqrt(self.g[k])
+            # Inputs that do not occur have no gradient.
+            rows = np.unique(inputs) if k == "x" else slice(None)
+            g = np.clip(g[rows], -1, 1)
+            self.g[k][rows] += g * g
+            self.p[k][rows] -= F32(rate) * g / np.sqrt(self.g[k][rows])
         return h
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -266,42 +264,24 @@ def score_texts(net: Network, inputs: np.ndarray, classes: np.ndarray, words: np
     return out
 
 
-def stretches(own: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of one stretch of each text, n+1 offsets of them, and whether it starts and ends with its text.
-
-    A stretch is 1 / STRETCH of the text, more in a small task, and starts where the text's hash says.
-    """
-    lengths = np.diff(own)
-    share = min(1.0, max(1 / STRETCH, LEAST_WORDS / max(int(own[-1]), 1)))
-    take = np.maximum(np.ceil(lengths * share).astype(np.int64), np.minimum(lengths, 8))
-    skip = (keys % (lengths - take + 1).astype(U)).astype(np.int64)
-    offsets = np.zeros(len(own), np.int64)
-    np.cumsum(take, out=offsets[1:])
-    at = np.arange(offsets[-1]) + np.repeat(own[:-1] + skip - offsets[:-1], take)
-    return at, offsets, skip == 0, skip + take == lengths
-
-
-def train_texts(net: Network, codes: np.ndarray, shapes: np.ndarray, own: np.ndarray, v: Vocabulary, keys: np.ndarray, rate: float) -> int:
-    """Train on a stretch of each text and return the number of tokens trained on."""
-    at, offsets, starts, ends = stretches(own, keys)
-    inputs, classes, words, _, offsets = sequence(codes[at], shapes[at], offsets, v)
+def train_texts(net: Network, codes: np.ndarray, shapes: np.ndarray, own: np.ndarray, v: Vocabulary, rate: float) -> int:
+    """Train on every token of every text, ends included, and return their number."""
+    inputs, classes, words, _, offsets = sequence(codes, shapes, own, v)
     before = shifted(inputs, offsets)
     fresh = np.zeros(len(inputs), bool)
-    # The end is only a target where the stretch reaches it; a word cut off from those before it is only context.
-    target = np.ones(len(inputs), bool)
-    target[offsets[1:][~ends] - 1] = False
-    target[offsets[:-1][~starts]] = False
-    first = offsets[:-1] + ~starts
-    fresh[first[first < len(fresh)]] = True
-    before, classes, words, fresh = before[target], classes[target], words[target], fresh[target]
+    fresh[offsets[:-1]] = True
     lanes = int(min(LANES, max(1, len(before) // STEPS)))
-    m = len(before) // lanes
-    lane = lambda a: a[: m * lanes].reshape(lanes, m).T
-    x, c, w, f = lane(before), lane(classes), lane(words), lane(fresh)
+    # The first lanes have one token more if the tokens do not come out even.
+    m, rest = divmod(len(before), lanes)
+    first = np.arange(lanes) * m + np.minimum(np.arange(lanes), rest)
     h = np.zeros((lanes, HIDDEN), F32)
     for t in range(0, m, STEPS):
-        h = net.train(x[t : t + STEPS], c[t : t + STEPS], w[t : t + STEPS], f[t : t + STEPS], h, rate)
-    return m * lanes
+        at = first + np.arange(t, min(t + STEPS, m))[:, None]
+        h = net.train(before[at], classes[at], words[at], fresh[at], h, rate)
+    if rest:
+        at = first[None, :rest] + m
+        net.train(before[at], classes[at], words[at], fresh[at], h[:rest], rate)
+    return len(before)
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -380,11 +360,8 @@ def trained(rows: DataFrame, v: Vocabulary, ends: int) -> Network:
             own_net = Network({k: a.copy() for k, a in shared.value.items()})
             done, key = 0, 0
             for _, codes, shapes, own in _gathered(batches, SCORE_WORDS):
-                sums = np.zeros(len(codes) + 1, U)
-                np.cumsum(codes, out=sums[1:])
-                keys = tb.mix(sums[own[1:]] - sums[own[:-1]] + U(r))
-                done += train_texts(own_net, codes, shapes, own, shared_v.value, keys, RATE / (1 + r))
-                key = int(keys[0] >> U(1)) if len(keys) else key
+                done += train_texts(own_net, codes, shapes, own, shared_v.value, RATE / (1 + r))
+                key = int(tb.mix(codes[: int(own[1])].sum(keepdims=True) + U(r))[0] >> U(1)) if len(own) > 1 else key
             if done:
                 flat = np.concatenate([own_net.p[k].ravel() for k in Network.NAMES]).astype(np.float64) * done
                 yield pa.RecordBatch.from_arrays([pa.array([key % 16], pa.int32()), pa.array([float(done)]), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "weights"])
