@@ -101,6 +101,38 @@ def test_decontaminate_edits(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3, 4, 5]
 
 
+def test_decontaminate_excerpts():
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    items = [noise(230), noise(70), noise(30), "short"]
+    items = [re.sub(" +", " ", x.strip()) for x in items]
+    index = decontaminate.build(items)
+    item = items[0]
+    for size in (48, 60, 90, 110, 130):
+        docs = [f"{noise(50)}{item[k : k + size]}{noise(50)}" for k in range(len(item) - size + 1)]
+        got = decontaminate.search(docs, index)
+        assert [r[:2] for r in got] == [(k, 0) for k in range(len(docs))] and all(r[3] == 0 for r in got)
+    # Edited excerpts: what is found is what brute force over all windows and all diagonals finds.
+    docs = []
+    for _ in range(60):
+        x, k = rng.choice(items[:3]), rng.randrange(40)
+        x = list(x[k:] if len(x) > 200 else x)[: rng.choice((40, 50, 60, 100, 120))]
+        for at in [rng.randrange(len(x)) for _ in range(rng.randrange(8))]:
+            x[at] = rng.choice(("", "#", x[at] + "#"))
+        docs.append(noise(20) + "".join(x) + noise(20))
+    brute = set()
+    for d, doc in enumerate(docs):
+        text, _ = decontaminate.normalise(decontaminate.codes_of(doc))
+        for i, x in enumerate(items[:3]):
+            for size in (96, 48):
+                n = min(size, len(x))
+                windows = np.stack([decontaminate.codes_of(x[k : k + n]) for k in range(len(x) - n + 1)])
+                edits, _ = decontaminate.align(windows, np.full(len(windows), n), text, np.full(len(windows), -n), len(text) + 2 * n)
+                if edits.min() <= min(int(n * decontaminate.BUDGET), (n - decontaminate.Q) // decontaminate.Q):
+                    brute.add((d, i))
+    assert 10 < len(brute) < 60 and {r[:2] for r in decontaminate.search(docs, index)} == brute
+
+
 def test_alignment_is_edit_distance():
     rng = np.random.default_rng(1)
     for _ in range(20):

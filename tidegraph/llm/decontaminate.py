@@ -1,14 +1,14 @@
 """Benchmark decontamination by the q-gram lemma over diagonal bands.
 
-Texts are normalised (lower case, runs of white space as one space). Benchmark items
-are cut into overlapping windows; a window of m characters and a text passage within e edits share at
-least m + 1 - q - q * e q-grams, all on diagonals that differ by at most e from
-the passage's own. So:
-1. all q-grams of a chunk of texts are hashed at once and looked up among those of the windows;
-2. hits are counted by window and diagonal band; bands overlap by half, so every passage lies wholly in one;
-3. bands that reach the window's bound are verified by banded alignment (edit distance of
-   the window to the best passage of the band), all bands of a chunk together.
-A text is contaminated by an item if a window of it is found within its budget.
+Texts are normalised (lower case, runs of white space as one space). The windows of a benchmark item are all its passages
+of 48 and of 96 characters, at every offset; an item that is no longer is one window. A window of m characters and a text
+passage within e edits share q-grams at no less than m + 1 - q - q * e places of the window, all on diagonals that differ
+by at most e from the passage's own. So:
+1. all q-grams of a chunk of texts are hashed at once and looked up among those of the items;
+2. hits are sorted by item, diagonal band and place in the item; bands overlap by half, so every passage lies wholly in one;
+3. windows that hold their bound of places are verified by banded alignment (edit distance of
+   the window to the best passage of the band), many at a time.
+A text is contaminated by an item if a window of it is found within its budget: 2 edits in 48 characters, 5 in 96.
 
 The benchmark goes to the executors in blocks of at most BLOCK_CHARS characters, so a larger one takes
 more passes and no more memory.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from tidegraph.llm import textbatch as tb
 
 Q = 12
-WINDOW, STEP = 96, 48
+#: Short windows find excerpts; long ones have room for edits that lie close together.
+WINDOWS = (96, 48)
 BUDGET = 0.06
 MIN_CHARS = 20
 BLOCK_CHARS = 4 << 20
@@ -91,52 +92,63 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of one block of the benchmark and where each q-gram stands in them."""
+    """Items of one block of the benchmark and where each q-gram stands in them."""
 
-    items: np.ndarray  # number of each window's item
-    codes: np.ndarray  # windows, one a row, padded with 0
+    items: np.ndarray  # numbers of the items that are long enough
+    codes: np.ndarray  # these items, one after the other
+    starts: np.ndarray  # place of each item in codes
     lengths: np.ndarray
-    budgets: np.ndarray
-    bounds: np.ndarray
-    starts: np.ndarray  # place of the window in its item
     grams: np.ndarray  # sorted different hashes
     offsets: np.ndarray  # of each gram's entries
-    entry_window: np.ndarray
+    entry_item: np.ndarray
     entry_at: np.ndarray
     filter: np.ndarray
 
 
 def build(texts: list[str]) -> Index:
-    items, rows, starts = [], [], []
+    items, rows = [], []
     for i, text in enumerate(texts):
         codes, _ = normalise(codes_of(text.strip()))
-        if len(codes) < MIN_CHARS:
-            continue
-        last = max(len(codes) - WINDOW, 0)
-        for at in sorted({*range(0, last, STEP), last}):
+        if len(codes) >= MIN_CHARS:
             items.append(i)
-            rows.append(codes[at : at + WINDOW])
-            starts.append(at)
+            rows.append(codes)
     lengths = np.array([len(r) for r in rows], np.int64)
-    padded = np.zeros((len(rows), WINDOW), np.uint32)
-    for k, r in enumerate(rows):
-        padded[k, : len(r)] = r
-    # The budget is lowered where the lemma would ask for no shared q-gram at all.
-    budgets = np.minimum((lengths * BUDGET).astype(np.int64), (lengths - Q) // Q)
     grams = [gram_hashes(r) for r in rows]
     hashes = np.concatenate(grams) if grams else np.zeros(0, U)
-    window = np.repeat(np.arange(len(rows)), [len(g) for g in grams]).astype(np.int64)
+    own = np.repeat(np.arange(len(rows)), [len(g) for g in grams]).astype(np.int64)
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
     order = np.argsort(hashes, kind="stable")
     different, first = np.unique(hashes[order], return_index=True)
     table = np.zeros(1 << FILTER_BITS, bool)
     table[(different >> U(64 - FILTER_BITS)).astype(np.int64)] = True
     return Index(
-        np.array(items, np.int64), padded, lengths, budgets, lengths + 1 - Q - Q * budgets, np.array(starts, np.int64),
-        different, np.append(first, len(hashes)), window[order], place[order], table,
+        np.array(items, np.int64), np.concatenate(rows) if rows else np.zeros(0, np.uint32), np.cumsum(lengths) - lengths, lengths,
+        different, np.append(first, len(hashes)), own[order], place[order], table,
     )
 
 
+def budgets(lengths: np.ndarray) -> np.ndarray:
+    """Edits allowed in windows; fewer where the lemma would ask for no shared q-gram at all."""
+    return np.minimum((lengths * BUDGET).astype(np.int64), (lengths - Q) // Q)
+
+
+def candidates(key: np.ndarray, x: np.ndarray, length: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hit and start of every window that holds its bound of places, each window of a key once.
+
+    Hits are places x of q-grams, sorted by key and x and different; size is that of the windows, length the item's.
+    """
+    bound = size + 1 - Q - Q * budgets(size)
+    i = np.arange(len(x))
+    j = np.minimum(i + bound - 1, len(x) - 1)
+    full = (i + bound <= len(x)) & (key[j] == key) & (x[j] - x <= size - Q)
+    low, high = np.maximum(x[j] - (size - Q), 0), np.minimum(x, length - size)
+    # Windows that start no later than the hit before are that hit's.
+    low[1:] = np.where(key[1:] == key[:-1], np.maximum(low[1:], x[:-1] + 1), low[1:])
+    n = np.where(full, np.maximum(high - low + 1, 0), 0)
+    hit = np.repeat(i, n)
+    return hit, low[hit] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def align(windows: np.ndarray, lengths: np.ndarray, text: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each window to a passage that starts in text[at : at + width], and where that passage ends.
 
@@ -180,28 +192,51 @@ def search(chunk_texts: list[str], index: Index) -> list[tuple[int, int, int, in
     places, k = places[real], k[real]
     counts = index.offsets[k + 1] - index.offsets[k]
     entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(index.offsets[k], counts)
-    window = index.entry_window[entry]
-    diagonal = np.repeat(places, counts) - index.entry_at[entry]
+    item, x = index.entry_item[entry], index.entry_at[entry]
+    diagonal = np.repeat(places, counts) - x
     # Bands of two strides each, a stride apart; a stride holds the diagonals of any passage within budget.
-    stride = 2 * int(index.budgets.max()) + 1
+    margin = int(budgets(np.minimum(index.lengths, max(WINDOWS))).max())
+    stride = 2 * margin + 1
     band = np.floor_divide(diagonal, stride)
-    keys = np.concatenate([window * (1 << 40) + band + 8, window * (1 << 40) + band + 7])
-    keys, hits = np.unique(keys, return_counts=True)
-    window, band = keys >> 40, (keys & ((1 << 40) - 1)) - 8
-    kept = hits >= index.bounds[window]
-    window, band = window[kept], band[kept]
-    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    margin = int(index.budgets.max())
-    for s in range(0, len(window), 4096):
-        w, b = window[s : s + 4096], band[s : s + 4096]
-        edits, end = align(index.codes[w], index.lengths[w], codes, b * stride - margin, 2 * stride + 2 * margin)
-        good = edits <= index.budgets[w]
-        for wk, e, to in zip(w[good].tolist(), edits[good].tolist(), end[good].tolist()):
-            start = max(to - int(index.lengths[wk]), 0)
-            begin, stop = int(at[start]), int(at[min(to, len(at)) - 1]) + 1
-            text = int(np.searchsorted(first, (begin + stop) // 2, side="right")) - 1
-            out.setdefault((text, int(index.items[wk])), []).append((wk, e, begin - int(first[text]), stop - int(first[text])))
-    return [(t, i, len({x[0] for x in v}), min(x[1] for x in v), max(min(x[2] for x in v), 0), max(x[3] for x in v)) for (t, i), v in sorted(out.items())]
+    keys, key, hits = np.unique(np.concatenate([item * (1 << 40) + band + (1 << 38), item * (1 << 40) + band + (1 << 38) - 1]), return_inverse=True, return_counts=True)
+    sizes_of = [np.minimum(index.lengths, w) for w in WINDOWS]
+    least = np.min([n + 1 - Q - Q * budgets(n) for n in sizes_of], axis=0)
+    enough = (hits >= least[keys >> 40])[key]
+    longest = int(index.lengths.max())
+    pairs = np.unique(key[enough] * longest + np.concatenate([x, x])[enough])
+    key, x = pairs // longest, pairs % longest
+    item, band = keys[key] >> 40, (keys[key] & ((1 << 40) - 1)) - (1 << 38)
+    found_rows = []
+    for kind, (w, sizes_) in enumerate(zip(WINDOWS, sizes_of)):
+        # An item that is no longer than a window has one, which the first kind holds.
+        use = np.flatnonzero((kind == 0) | (index.lengths[item] > w))
+        hit, start = candidates(key[use], x[use], index.lengths[item[use]], sizes_[item[use]])
+        hit = use[hit]
+        for s in range(0, len(hit), 4096):
+            h, p = hit[s : s + 4096], start[s : s + 4096]
+            it = item[h]
+            n, place = sizes_[it], index.starts[it] + p
+            rows = index.codes[np.minimum(place[:, None] + np.arange(int(n.max())), len(index.codes) - 1)]
+            edits, end = align(rows, n, codes, band[h] * stride - margin + p, 2 * stride + 2 * margin)
+            good = edits <= budgets(n)
+            begin = at[np.maximum(end[good] - n[good], 0)]
+            stop = at[np.minimum(end[good], len(at)) - 1] + 1
+            text = np.searchsorted(first, (begin + stop) // 2, side="right") - 1
+            found_rows.append(np.stack([text, it[good], place[good] * len(WINDOWS) + kind, edits[good], np.maximum(begin - first[text], 0), stop - first[text]]))
+    if not found_rows:
+        return []
+    got = np.concatenate(found_rows, axis=1)
+    got = got[:, np.lexsort(got[2::-1])]
+    if not got.shape[1]:
+        return []
+    new = np.ones(got.shape[1], bool)
+    new[1:] = (got[:2, 1:] != got[:2, :-1]).any(0)
+    other = new.copy()
+    other[1:] |= got[2, 1:] != got[2, :-1]
+    group = np.flatnonzero(new)
+    columns = [got[0, group], got[1, group], np.add.reduceat(other.astype(np.int64), group), np.minimum.reduceat(got[3], group), np.minimum.reduceat(got[4], group), np.maximum.reduceat(got[5], group)]
+    columns[1] = index.items[columns[1]]
+    return list(zip(*(c.tolist() for c in columns)))
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
