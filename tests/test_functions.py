@@ -2,7 +2,10 @@
 
 import hashlib
 import base64
+import collections
 import itertools
+import math
+import re
 
 import numpy as np
 import pytest
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import assignment as fn
 from tidegraph.functions import text as tx
 from tidegraph.operators import agreement, curation, instances, sampling, scoring
+from tidegraph.plans import REGISTRY
 from tidegraph.sources import foreign, sinks, wiki
 
 
@@ -112,6 +116,21 @@ def test_scores(spark):
     assert m.cohen_kappa == 1.0 and m.scott_pi == 1.0 and m.f1 == 1.0
 
 
+def test_bleu_rouge_of_whole_turns(spark):
+    sf = "/root/testdata/sf0.001"
+    turns = {(r.conv_id, r.turn): (r.role, re.findall(r"\S+", r.text.lower())) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r for r in REGISTRY.queries["bleu_rouge"](spark, sf).collect()}
+    grams = lambda t, n: collections.Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+    assert got.keys() == {(c, t) for (c, t), x in turns.items() if x[0] == "assistant" and (c, t - 1) in turns}
+    assert any(len(turns[k][1]) > 60 for k in got)
+    for (c, t), r in got.items():
+        a, b = turns[c, t][1], turns[c, t - 1][1]
+        both = {n: ((grams(a, n) & grams(b, n)).total(), grams(a, n).total()) for n in (1, 2, 3, 4)}
+        logs = [math.log(max((x + (n > 1)) / max(y + (n > 1), 1), 1e-9)) / 4 for n, (x, y) in both.items()]
+        bleu = math.exp(sum(logs) + (0 if len(a) >= len(b) else 1 - len(b) / max(len(a), 1))) if a and b else 0
+        assert abs(r.bleu - bleu) < 2e-6 and abs(r.rouge2 - (both[2][0] / both[2][1] if both[2][1] else 0)) < 2e-6
+
+
 def test_sources(spark, tmp_path):
     dump = tmp_path / "dump.xml"
     dump.write_text("<mediawiki><page><title>T</title><ns>0</ns><id>5</id><revision><id>9</id><timestamp>2024-01-01T00:00:00Z</timestamp><text>x [[y]]</text></revision></page><page><title>U:z</title><ns>2</ns><id>6</id></page></mediawiki>")

@@ -111,7 +111,16 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def clipped(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two string arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    # One pass over both in order, a's copies of a string before b's: each of b's takes one of those left.
+    side = lambda z, k: F.transform(z, lambda x: F.struct(x.alias("x"), F.lit(k).alias("side")))
+
+    def step(s: Column, e: Column) -> Column:
+        left = F.when(s["x"] == e["x"], s["left"]).otherwise(0)
+        taken = F.when((e["side"] == 1) & (left > 0), 1).otherwise(0)
+        return F.struct(e["x"].alias("x"), F.when(e["side"] == 0, left + 1).otherwise(left - taken).alias("left"), (s["total"] + taken).alias("total"))
+
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("left"), F.lit(0).alias("total"))
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: s["total"])
 
 
 def bleu(candidate: Column, reference: Column, orders: int = 4) -> Column:

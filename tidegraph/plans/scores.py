@@ -155,7 +155,7 @@ def bleu_rouge(spark: SparkSession, sf: str) -> DataFrame:
     """BLEU and ROUGE-2 precision of each assistant turn against the turn before it."""
     c = table(spark, sf, "conversations")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    t = c.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.slice(raw_tokens(F.lower("text")), 1, 60).alias("a"), F.slice(raw_tokens(F.lower("reference")), 1, 60).alias("b"))
+    t = c.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", raw_tokens(F.lower("text")).alias("a"), raw_tokens(F.lower("reference")).alias("b"))
     return t.select("conv_id", "turn", F.round(scoring.bleu(F.col("a"), F.col("b")), 6).alias("bleu"), F.round(scoring.rouge_precision(F.col("a"), F.col("b")), 6).alias("rouge2"))
 
 
