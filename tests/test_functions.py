@@ -116,6 +116,26 @@ def test_scores(spark):
     assert m.cohen_kappa == 1.0 and m.scott_pi == 1.0 and m.f1 == 1.0
 
 
+def test_whole_documents_are_curated(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(list("abcdefgh \u00e9"), n))
+    for _ in range(200):
+        a, b = text(rng.integers(0, 30)), text(rng.integers(0, 30))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        assert curation._edits(a, b) == row[-1]
+    # Long and accented copies of a late source, and texts that differ after their first 300 characters.
+    long, start = text(1500), text(300)
+    rows = [(1, "src9", "fr", long), (2, "src9", "fr", long + "#"), (3, "src9", "fr", start + text(900)), (4, "src9", "fr", start + text(900)), (5, "src9", "fr", None)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # Folding keeps the one of larger length % 3.
+    assert sorted(r.doc_id for r in REGISTRY.queries["duplicate_fold"](spark, str(tmp_path)).collect()) == [2, 3, 4]
+    assert sorted(r.doc_id for r in REGISTRY.queries["diverse_selection"](spark, str(tmp_path)).collect()) == [1, 3, 4]
+
+
 def test_bleu_rouge_of_whole_turns(spark):
     sf = "/root/testdata/sf0.001"
     turns = {(r.conv_id, r.turn): (r.role, re.findall(r"\S+", r.text.lower())) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}

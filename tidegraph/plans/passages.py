@@ -237,16 +237,16 @@ def context_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def diverse_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy diverse choice within (source, lang) groups of short documents."""
-    small = _short(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id").where("source < 'src12'")
-    return curation.diverse(small, ["source", "lang"], ["doc_id"], "text", limit=3).select("source", "lang", "doc_id")
+    """Greedy diverse choice within (source, lang) groups of all documents."""
+    rows = docs(spark, sf).where("text IS NOT NULL").select("doc_id", "source", "lang", "text")
+    return curation.diverse(rows, ["source", "lang"], ["doc_id"], "text", limit=3).select("source", "lang", "doc_id")
 
 
 @query()
 def duplicate_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequential near-duplicate removal within source blocks of short documents."""
-    small = _short(spark, sf).where("source < 'src12'").withColumn("good", F.length("text") % 3)
-    return curation.fold_duplicates(small, ["source"], "doc_id", "text", ["good"], most_edits=0.2).select("source", "doc_id")
+    """Sequential near-duplicate removal within source blocks of all documents."""
+    rows = docs(spark, sf).where("text IS NOT NULL").select("doc_id", "source", "text").withColumn("good", F.length("text") % 3)
+    return curation.fold_duplicates(rows, ["source"], "doc_id", "text", ["good"], most_edits=0.2).select("source", "doc_id")
 
 
 @query("WITH p AS (SELECT doc_id, lang || '|' || source AS t FROM documents), g AS (SELECT string_agg(DISTINCT t, ';' ORDER BY t) AS signature, doc_id % 40 AS k FROM p GROUP BY doc_id % 40) SELECT signature, count(*) AS n FROM g GROUP BY signature")
