@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +12,11 @@ from tidegraph.llm.license_sql import license_sql
 from tidegraph.registry import Registry
 
 LLM = Registry()
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def piece_model(path: str | None = None) -> bytes:
-    """The bytes of the SentencePiece model."""
-    with open(path or f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+    """The bytes of the SentencePiece model at path, by default the public one; the driver reads it and sends it with the tasks."""
+    with open(path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return f.read()
 
 

@@ -39,7 +39,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[^-]+-----END \1PRIVATE KEY-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?!-----)[\x00-\xff])+-----END \1PRIVATE KEY-----")
 #: Keyword (lower case) to the kind whose expression it starts.
 KEYWORDS = {b"password": "assign", b"passwd": "assign", b"secret": "assign", b"token": "assign", b"apikey": "assign", b"api_key": "assign", b"akia": "access", b"ghp_": "github", b"gho_": "github", b"ghu_": "github", b"ghs_": "github", b"ghr_": "github", b"npm_": "npm", b"eyj": "jwt", b"-----begin ": "pem"}
 LETTERS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -61,7 +61,7 @@ def header_holds(token: bytes) -> bool:
     head = token.split(b".", 1)[0]
     try:
         found = json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):  # a header nested too deep is none
         return False
     return isinstance(found, dict) and "alg" in found
 

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in local tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir of the session, else a local fallback."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{LOCAL_FALLBACK}"
+    """The cluster's shared folder: spark.checkpoint.dir of the session. Only a local master, as in tests, may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return "file:///tmp/checkpoints"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 class Scratch:

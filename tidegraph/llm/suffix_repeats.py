@@ -62,7 +62,7 @@ def anchors(chunk: tb.Chunk, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     for i in np.flatnonzero(np.diff(chunk.offsets) >= length).tolist():
         a, b = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
         places = np.arange(a, b - k + 1)
-        h = tb.mix((hashes.sums[a + k : b + 1] - hashes.sums[a : b - k + 1]) * hashes.down[a : b - k + 1]) >> U(1)
+        h = hashes.sliding(a, b, k) >> U(1)
         least = _sliding(h, w, np.minimum, TOP)
         edge = np.zeros(w - 1, U)
         of = _sliding(np.concatenate([edge, least, edge]), w, np.maximum, U(0))

@@ -1,6 +1,6 @@
 """Vectorised text primitives over Arrow batches: words, hashes, lines, without a Python loop per word.
 
-A chunk is a slice of a batch whose texts hold a few megabytes together; a longer
+A chunk is a slice of a batch whose texts hold at most CHUNK_BYTES together; a longer
 single text makes a chunk of its own, so no text is ever cut. All functions work
 on the concatenated UTF-8 bytes of a chunk.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 #: White space of the word pattern [^\x20\x09-\x0D]+
 SPACE = np.zeros(256, bool)
@@ -24,8 +24,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_GOLDEN = 0x9E3779B97F4A7C15
+#: The Mersenne prime 2**31 - 1; a product of two residues fits in 64 bits.
+_P = (1 << 31) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,40 +39,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def byte_codes(lower: bool = False) -> np.ndarray:
-    """A random 64-bit code for each byte; with lower, A-Z have the codes of a-z."""
-    codes = mix(np.arange(1, 257, dtype=U) * U(_BASE))
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**63."""
+    x = (x & U(_P)) + (x >> U(31))
+    x = (x & U(_P)) + (x >> U(31))
+    return np.where(x >= U(_P), x - U(_P), x)
+
+
+@lru_cache(maxsize=16)
+def byte_codes(which: int, lower: bool = False) -> np.ndarray:
+    """A random residue for each byte; with lower, A-Z have the codes of a-z."""
+    codes = _residue(mix(np.arange(1 + 256 * which, 257 + 256 * which, dtype=U) * U(_GOLDEN)) >> U(1))
     return codes[LOWER] if lower else codes
 
 
-_powers: list[np.ndarray] = []
+#: Bases of the hashes: fixed residues drawn at random.
+_BASES = (1_273_514_309, 934_012_877, 1_888_442_611, 527_900_041)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the hash base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        one = np.ones(size, U)
-        up, down = one.copy(), one
-        up[1:], down[1:] = U(_BASE), U(_BASE_INVERSE)
-        _powers[:] = [np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)]
-    return _powers[0], _powers[1]
+def _rising(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n of base, by doubling."""
+    out = np.ones(1, U)
+    while len(out) <= n:
+        out = np.concatenate([out, _residue(out * U(pow(base, len(out), _P)))])
+    return out
 
 
-class SpanHash:
-    """64-bit hashes of any byte spans of one buffer, by prefix sums modulo 2**64."""
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n at least of a hash's base and of its inverse."""
+    got = _powers.get(which)
+    if got is None or len(got[0]) <= n:
+        size = max(n, CHUNK_BYTES)
+        got = _powers[which] = (_rising(_BASES[which], size), _rising(pow(_BASES[which], -1, _P), size))
+    return got
 
-    def __init__(self, data: np.ndarray, lower: bool = False):
-        up, self.down = powers(len(data))
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(byte_codes(lower)[data] * up[: len(data)], out=self.sums[1:])
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+class SpanHash:
+    """62-bit hashes of any byte spans of one buffer: two polynomials modulo the prime 2**31 - 1, by prefix sums.
+
+    A prime modulus has no strings that collide for every base, as a power of two has. salt gives an independent hash.
+    """
+
+    def __init__(self, data: np.ndarray, lower: bool = False, salt: int = 0):
+        self.parts = []
+        for which in (2 * salt, 2 * salt + 1):
+            up, down = powers(which, len(data))
+            x = byte_codes(which, lower)[data]
+            x *= up[: len(data)]
+            x = (x & U(_P)) + (x >> U(31))
+            sums = np.zeros(len(data) + 1, U)
+            np.cumsum(x, out=sums[1:])
+            self.parts.append((sums, down))
+
+    @staticmethod
+    def _joined(values: list[np.ndarray], lengths) -> np.ndarray:
+        return mix(((values[0] << U(32)) | values[1]) + np.multiply(lengths, U(0xA0761D6478BD642F), dtype=U))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.raw(start, end) + (end - start).astype(U) * U(0xA0761D6478BD642F))
+        """Hash of each span."""
+        return self._joined([_residue(_residue(sums[end] - sums[start]) * down[start]) for sums, down in self.parts], (end - start).astype(U))
+
+    def sliding(self, a: int, b: int, size: int) -> np.ndarray:
+        """Hashes of all spans of size bytes within [a, b), in order."""
+        n = max(b - a - size + 1, 0)
+        return self._joined([_residue(_residue(sums[a + size : a + size + n] - sums[a : a + n]) * down[a : a + n]) for sums, down in self.parts], U(size))
 
 
 @dataclass
