@@ -34,13 +34,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that of the least id (five-word shingles, similarity 0.8)."""
-    found, _ = minhash.near_duplicates(docs, k=5, percent=80)
+    found, behind = minhash.near_duplicates(docs, k=5, percent=80)
+    found = Scratch(spark, "near").keep(found.where("doc_id IS NOT NULL").select("doc_id", "kept"), "found")
+    behind.drop()
     gone = found.where("NOT kept").select("doc_id").distinct()
     # Ids of what goes are sent to all tasks if they are few enough, else both sides are dealt out by id.
     few = gone.count() <= minhash.BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     # An id that repeats is one document: of its rows the first by text stays.
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
     single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)

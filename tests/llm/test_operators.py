@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip, or properties of its result."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -61,6 +62,26 @@ def test_words_and_hashes():
     assert len({(w, int(c)) for w, c in zip(flat, codes)}) == len(set(flat)) == len(set(codes.tolist()))
 
 
+def thue_morse(bits, zero="a", one="b"):
+    """A word and its complement collide in every polynomial hash modulo a power of two."""
+    return "".join(one if bin(k).count("1") % 2 else zero for k in range(1 << bits))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    a, b = thue_morse(12), thue_morse(12, "b", "a")
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    codes = tb.SpanHash(data).of(np.array([0, 4096]), np.array([4096, 8192]))
+    assert codes[0] != codes[1]
+    assert (tb.SpanHash(data).sliding(0, 8192, 500) == tb.SpanHash(data).of(np.arange(7693), np.arange(7693) + 500)).all()
+    many = [(1, f"{a}\n{b}"), (2, f"{a}\n{a}"), (3, f"{a} x y z {b} x y z"), (4, b)]
+    df = spark.createDataFrame(many, "doc_id bigint, text string")
+    got = by_id(weak_rules.quality(df, keep=["doc_id"]))
+    assert [got[k].n_dup_lines for k in (1, 2)] == [0, 1]
+    assert {k: r.component_id for k, r in by_id(minhash.near_duplicates(df, k=1)[0]).items()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in by_id(suffix_repeats.repeated(df)[0]).items()} == brute_removed(many, 400)
+    assert {k: r.n_known for k, r in by_id(gru_lm.scores(df, F.col("doc_id") > 1)[0]).items()} == {1: 3, 2: 3, 3: 3, 4: 2}
+
+
 # 1
 
 
@@ -269,6 +290,10 @@ def test_secret_checksums_and_redaction(spark):
     df = spark.createDataFrame([(1, f"é {good} z"), (2, bad), (3, "token: abcdefghijklmnop end"), (4, None)], "doc_id bigint, text string")
     got = by_id(secrets.find_secrets(df, keep=["doc_id"], redact="[x]"))
     assert got[1].spans == f"github:2:{2 + len(good)}" and got[1].redacted == "é [x] z"
+    nested = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000).decode().rstrip("=")
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nMII+/=\n-----END RSA PRIVATE KEY-----"
+    hostile = spark.createDataFrame([(1, f"{nested}.e30.x"), (2, pem)], "doc_id bigint, text string")
+    assert {d: r.spans for d, r in by_id(secrets.find_secrets(hostile, keep=["doc_id"])).items()} == {1: "", 2: f"pem:0:{len(pem)}"}
     assert got[2].spans == "" and got[3].redacted == "[x] end" and got[4].spans == "" and got[4].redacted is None
 
 
@@ -336,6 +361,47 @@ def test_near_duplicates(spark, texts):
     assert all(r.kept == (r.component_id == d) for d, r in got.items())
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_duplicates_of_edited_families(spark, seed):
+    """Replaced, lost and added words, shared passages, and copies of copies that are far from the least id."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(30)]
+    every = {}
+    for family in range(6):
+        made = [[word() for _ in range(rng.randint(60, 160))]]
+        for _ in range(70):
+            w = list(rng.choice(made if rng.random() < 0.5 else made[:1]))
+            for _ in range(rng.randint(1, 6)):
+                kind, at = rng.random(), rng.randrange(len(w))
+                if kind < 0.4:
+                    w[at] = word()
+                elif kind < 0.6:
+                    del w[at : at + rng.randint(1, 6)]
+                elif kind < 0.8:
+                    w[at:at] = [word()]
+                else:
+                    w = w[: max(40, len(w) - rng.randint(1, 20))]
+                w = w if len(w) > 30 else list(made[0])
+            if rng.random() < 0.2:
+                w = w + passage
+            made.append(w)
+        rng.shuffle(made)
+        every |= {1000 * family + k: " ".join(w) for k, w in enumerate(made)}
+    df = spark.createDataFrame(list(every.items()), "doc_id bigint, text string").repartition(4)
+    brute = brute_components(every, 4, 80)
+    assert 20 < len({c for _, c in brute.values()}) < 400
+    assert {d: (r.n_shingles, r.component_id) for d, r in by_id(minhash.near_duplicates(df, k=4, percent=80)[0]).items()} == brute
+
+
+def test_near_duplicates_of_documents(spark):
+    import duckdb
+
+    every = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    got = by_id(LLM.queries["op5_minhash_dedup"](spark, "/root/testdata/sf0.01"))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_components(every, 4, 80)
+
+
 def test_sketch_estimates_similarity():
     a = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     b = a.copy()

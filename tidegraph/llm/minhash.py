@@ -10,17 +10,20 @@ Banding: rows of t / BANDS coordinates make a key, and documents that share a ke
 the least similarity that counts (0.8), 48 bands of 5 rows miss a pair with a chance of 5e-9.
 
 Pairs without the square of a group:
-1. Texts of equal word sequences are one class from the start; only their least id goes on.
+1. Texts of equal word sequences (by a 128-bit digest of the whole sequence) are one class from the start; only
+   their least id goes on.
 2. In each bucket every member is compared with the bucket's least id, the hub, exactly, on the full sets; the
    links found give components. Two candidates share a bucket, so both are in the star of its hub.
-3. A member is the hub's set less some shingles, plus added ones. Two members without a common added shingle share
-   at most what both kept of the hub, which the sizes bound; mostly that rules the pair out. So members of
-   different components are only compared (a) if they have a common added shingle among the rare ones that a prefix
-   filter keeps, by stars over (hub, shingle) first and then, where components still differ, pair by pair, or (b) if the bound without a common one allows it.
-   Members of one component need no comparison, as only components count. No possible link between different
-   components is left out, so the components are those of all links among candidates.
-Pairs of step 3 first pass a test of sizes and sketches: two bits of each coordinate are compared, and a pair goes if it
-differs in more coordinates than a similar pair does but for a chance of about 1e-9.
+3. A member is the hub's set less its removed shingles plus its added ones, and all that follows works on these
+   differences. Members of one component need no comparison, as only components count, so of a pair one member is not
+   linked with the hub; from that follows how many removed and added shingles the two must have in common at least (see _entries). A
+   prefix filter on these, rare ones first, deals members into cells (hub, shingle).
+4. Rounds of stars: in each cell every member is compared with one head if their components differ. A round is linear in
+   the entries; cells of one component fall out, and families that are not close to the hub grow together.
+5. When a round finds no link, what is left are cells of components that hardly touch. There members of
+   different components meet, and sizes, sketches and bitmaps of the differences are tested within the join, so that it
+   yields few but real links. No possible link between different components is left out, so the
+   components are those of all links among candidates.
 
 Results. Null, empty and white-space texts have no shingles and are linked with nothing. A text of fewer than
 k words is one shingle. Rows with a null id are left as their own class (component null). Rows that repeat an id share
@@ -29,6 +32,7 @@ its component. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,28 +50,36 @@ T = BANDS * ROWS
 U = np.uint64
 
 
-def shingle_sets(chunk: tb.Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle codes of all texts, their n+1 offsets, and a code of each text's word sequence."""
+def shingle_sets(chunk: tb.Chunk, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Sorted distinct shingle codes of all texts, their n+1 offsets, and a digest of each text's word sequence."""
     starts, ends, own = tb.words(chunk)
     codes = tb.SpanHash(chunk.data, lower=True).of(starts, ends)
     grams, own_k = tb.windows(codes, own, k)
     lengths = np.diff(own)
-    # The whole sequence: a prefix-sum hash of the word codes, so word order counts.
-    up, down = tb.powers(len(codes))
-    sums = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    whole = tb.mix((sums[own[1:]] - sums[own[:-1]]) * down[own[:-1]] + lengths.astype(U))
-    parts, counts = [], np.zeros(chunk.n, np.int64)
+    # Words in lower case, each followed by one space.
+    tail = ends - 1
+    kept = ~tb.SPACE[chunk.data]
+    sizes = np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(kept, out=sizes[1:])
+    body = np.full(int(sizes[-1]) + len(starts), 32, np.uint8)
+    at = np.flatnonzero(kept)
+    word = np.zeros(len(at), np.int64)
+    word[sizes[tail[:-1]] + 1] = 1
+    body[np.arange(len(at)) + np.cumsum(word)] = tb.LOWER[chunk.data[at]]
+    edges = sizes[chunk.offsets] + own
+    parts, digests, counts = [], [], np.zeros(chunk.n, np.int64)
     for i in range(chunk.n):
+        digest = hashlib.blake2b(body[edges[i] : edges[i + 1]].tobytes(), digest_size=16).digest()
         if lengths[i] >= k:
             got = np.unique(grams[own_k[i] : own_k[i + 1]])
         else:
-            got = whole[i : i + 1] if lengths[i] else whole[:0]
+            got = np.frombuffer(digest, U)[: 1 if lengths[i] else 0]
         parts.append(got)
+        digests.append(digest)
         counts[i] = len(got)
     offsets = np.zeros(chunk.n + 1, np.int64)
     np.cumsum(counts, out=offsets[1:])
-    return (np.concatenate(parts) if parts else np.zeros(0, U)), offsets, whole
+    return (np.concatenate(parts) if parts else np.zeros(0, U)), offsets, digests
 
 
 def sketches(sets: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
@@ -135,22 +147,22 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
     """(id, n_shingles, whole, bits, keys) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tb.chunks(batches, "__text", 2 << 20):
+        for chunk in tb.chunks(batches, "__text"):
             sets, offsets, whole = shingle_sets(chunk, k)
             sketch = sketches(sets, offsets)
             yield pa.RecordBatch.from_arrays(
-                [chunk.batch.column(0), pa.array(np.diff(offsets)), pa.array(whole.view(np.int64)), _lists(packed_bits(sketch)), _lists(band_keys(sketch))],
+                [chunk.batch.column(0), pa.array(np.diff(offsets)), pa.array(whole, pa.binary()), _lists(packed_bits(sketch)), _lists(band_keys(sketch))],
                 names=["id", "n", "whole", "bits", "keys"],
             )
 
-    return rows.mapInArrow(run, "id bigint, n bigint, whole bigint, bits array<bigint>, keys array<bigint>")
+    return rows.mapInArrow(run, "id bigint, n bigint, whole binary, bits array<bigint>, keys array<bigint>")
 
 
 def _full_sets(rows: DataFrame, k: int) -> DataFrame:
     """(id, shingles) with the sorted codes of every text's full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tb.chunks(batches, "__text", 2 << 20):
+        for chunk in tb.chunks(batches, "__text"):
             sets, offsets, _ = shingle_sets(chunk, k)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([chunk.batch.column(0), lists], names=["id", "shingles"])
@@ -169,12 +181,41 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ <= _most_different(percent / 100))
 
 
+#: Longs of the bitmap of a member's differences from its hub.
+MAP_WORDS = 8
+
+
+def _bitmap(shingles: Column) -> Column:
+    """A bit for each shingle, in MAP_WORDS longs."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+
+    def word(w: int) -> Column:
+        own = F.filter(shingles, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(MAP_WORDS - 1)) == w)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseOR(bit(x)))
+
+    words = [word(w) for w in range(MAP_WORDS)]
+    return F.array(*words)
+
+
+def _close(both: Column, a: str, b: str, percent: int) -> Column:
+    """both shared shingles make a link of two members."""
+    return both * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+
+
+def _may_share(a: str, b: str, percent: int) -> Column:
+    """The bitmaps leave room for a link: a bit that only one of them has is a difference that the other lacks."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.map")[w].bitwiseAND(F.bitwise_not(F.col(f"{y}.map")[w]))) for w in range(MAP_WORDS)), F.lit(0))
+    c = lambda x, f: F.col(f"{x}.{f}")
+    common = F.least(c(a, "added") + c(a, "removed") - only(a, b), c(b, "added") + c(b, "removed") - only(b, a))
+    return _close(common + c(a, "hub") - c(a, "removed") - c(b, "removed"), a, b, percent)
+
+
 #: Up to so many ids (some 40 MB) go to all tasks to pick their texts; beyond, texts and ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _compared(pairs: DataFrame, rows: DataFrame, k: int, scratch: Scratch, name: str, added: bool = False, fan: int = 512) -> DataFrame:
-    """Sizes of the full sets of each pair (u, v) and of their intersection; with added, also v's shingles that u lacks.
+def _compared(pairs: DataFrame, rows: DataFrame, k: int, scratch: Scratch, name: str, fan: int = 512) -> DataFrame:
+    """For each pair (u, v): sizes of the full sets, of their intersection, and the shingles that v adds to u and lacks.
 
     Full sets are only made for documents in a pair. A hub u can stand in very many pairs: its set is copied
     once for each fan of its pairs, so that no task gets all pairs of one hub.
@@ -186,17 +227,94 @@ def _compared(pairs: DataFrame, rows: DataFrame, k: int, scratch: Scratch, name:
     salted = pairs.join(hubs, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
     with_v = salted.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     left = hubs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    out = with_v.join(left, ["u", "salt"]).select(
-        "u", "v", F.size("a").alias("nu"), F.size("b").alias("nv"), F.size(F.array_intersect("a", "b")).alias("both"), *([F.array_except("b", "a").alias("added")] if added else [])
-    )
+    out = with_v.join(left, ["u", "salt"]).select("u", "v", F.size("a").alias("hub"), F.size("b").alias("n"), F.array_except("b", "a").alias("plus"), F.array_except("a", "b").alias("minus"))
     out = scratch.keep(out, name)
     scratch.drop(f"{name}-sets")
     scratch.drop(f"{name}-ids")
     return out
 
 
+def _entries(members: DataFrame, percent: int) -> DataFrame:
+    """Cells (u, kind, s) of the members that can have a link with a member of another component there.
+
+    Let a and b be members of one hub of H shingles, x+ and x- the numbers that x adds and removes, t = percent / (100 + percent).
+    They are linked if they share t (na + nb), that is, if their common differences S, removed and added ones, are no fewer than
+    t (na + nb) - H + a- + b-. If a is not linked with the hub, H - a- < t (na + H), so S > (1 - t) b- + t b+.
+    Common removed ones are at most b-, so more than t (b+ - b-) added ones are common: one at least if b+ >= b-. Without a
+    common added one, b- > b+, more than (1 - t) b- + t b+ removed ones are common, and both members lie with their t (na + nb)
+    shared shingles within the hub, so with percent of their own each.
+    All members are such a b, and with two members outside the hub's component both are; near holds the prefix that any
+    partner asks for: all elements of a member outside meet the short prefixes of those inside.
+    """
+    t = F.lit(100 + percent)
+    more = F.col("added") - F.col("removed")
+    inside = (F.col("hub") - F.col("removed")) * 100 >= F.col("n") * percent
+    taken = F.when(inside & ((more < 0) | F.col("far")), F.col("minus")).otherwise(F.slice("minus", 1, 0))
+    tagged = lambda x, kind: F.transform(x, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+    each = members.select("u", "v", "component", "far", "added", "removed", F.explode(F.concat(tagged(F.col("plus"), 0), tagged(taken, 1))).alias("e")).select("*", "e.*").drop("e")
+    cells = each.groupBy("u", "kind", "s").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "kind", "s", "c")
+    shared = each.join(cells, ["u", "kind", "s"])
+    # Elements in no such cell come first in the common order, then rare ones; so the prefix ends early.
+    rank = F.row_number().over(Window.partitionBy("u", "v", "kind").orderBy("c", "s"))
+    many = F.count("*").over(Window.partitionBy("u", "v", "kind"))
+    size = F.when(F.col("kind") == 0, F.col("added")).otherwise(F.col("removed"))
+    need = F.when(F.col("kind") == 0, F.greatest(F.floor(more * percent / t) + 1, F.lit(1))).otherwise(F.floor((F.col("removed") * 100 + F.col("added") * percent) / t) + 1)
+    short = (size - F.col("many") + F.col("rank") <= size - need + 1) & ((F.col("kind") == 0) | (more < 0))
+    out = shared.withColumn("rank", rank).withColumn("many", many).withColumn("short", short)
+    return out.where("short OR far").select("u", "kind", "s", "v", "short")
+
+
 def _is_link(percent: int) -> Column:
-    return F.col("both") * 100 >= (F.col("nu") + F.col("nv") - F.col("both")) * percent
+    return (F.col("n") - F.size("plus")) * (100 + percent) >= (F.col("hub") + F.col("n")) * percent
+
+
+#: Rounds of stars over cells at most; what they leave is compared member by member, so no link depends on it.
+STAR_ROUNDS = 8
+
+
+def _joined_families(members: DataFrame, links: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Components (node, component) with all links among members (u, v, hub, n, plus, minus, bits) of the same hub."""
+
+    def placed(found: DataFrame) -> DataFrame:
+        at = members.join(found.select(F.col("node").alias("v"), "component"), "v", "left").join(found.select(F.col("node").alias("u"), F.col("component").alias("main")), "u", "left")
+        at = at.withColumn("component", F.coalesce("component", "v")).withColumn("main", F.coalesce("main", "u")).withColumn("far", F.col("component") != F.col("main")).drop("main")
+        mixed = at.where("far").select("u").distinct()
+        return at.join(mixed, "u", "left_semi")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs (u, a, b), from the differences of both to their hub."""
+        side = lambda x: members.select("u", F.col("v").alias(x), F.struct("hub", "n", "plus", "minus").alias(f"{x}_"))
+        both = F.col("a_.hub") - F.size(F.array_union("a_.minus", "b_.minus")) + F.size(F.array_intersect("a_.plus", "b_.plus"))
+        return pairs.join(side("a"), ["u", "a"]).join(side("b"), ["u", "b"]).where(_close(both, "a_", "b_", percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    slim = ["u", "v", "component", "far", "hub", "n", "added", "removed", "map", "bits"]
+    looks = lambda x, at: at.select("u", F.col("v").alias(x), F.struct("component", "far", "hub", "n", "added", "removed", "map", "bits").alias(x + "_"))
+    fits = (F.col("a_.component") != F.col("b_.component")) & _possible("a_", "b_", percent) & _may_share("a_", "b_", percent)
+    for r in range(STAR_ROUNDS):
+        at = placed(found)
+        entries = scratch.keep(_entries(at, percent), f"entries-{r}")
+        at = at.select(*slim)
+        heads = entries.groupBy("u", "kind", "s").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)), F.col("v").alias("v")))["v"].alias("a"))
+        pairs = entries.join(heads, ["u", "kind", "s"]).where("v <> a").select("u", F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
+        pairs = pairs.join(looks("a", at), ["u", "a"]).join(looks("b", at), ["u", "b"]).where(fits).select("u", "a", "b")
+        new = scratch.keep(verified(pairs), f"star-{r}")
+        last = r == STAR_ROUNDS - 1 or new.isEmpty()
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = scratch.keep(components(links, scratch, f"cc-{r}"), f"components-{r}")
+        if last:
+            break
+        scratch.drop(f"entries-{r}")
+    # Short prefixes meet each other, and those of members inside the hub's component meet all elements of those outside.
+    at = placed(found).select(*slim)
+    side = entries.join(at, ["u", "v"]).select("u", "kind", "s", "short", F.struct("v", *slim[2:]).alias("m"))
+    a, b = side.select("u", "kind", "s", F.col("short").alias("a_short"), F.col("m").alias("a_")), side.where("short").select("u", "kind", "s", F.col("m").alias("b_"))
+    meet = F.col("a_.far") & fits & F.when(F.col("b_.far"), F.col("a_short") & (F.col("a_.v") < F.col("b_.v"))).otherwise(True)
+    rest = a.join(b, ["u", "kind", "s"]).where(meet).select("u", F.col("a_.v").alias("a"), F.col("b_.v").alias("b")).distinct()
+    new = scratch.keep(verified(rest), "rest")
+    if new.isEmpty():
+        return found
+    return scratch.keep(components(links.unionByName(new), scratch, "cc-rest"), "components-rest")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, label: str = "minhash") -> tuple[DataFrame, Scratch]:
@@ -211,77 +329,44 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("__text"))
     # One pass of the texts; what it makes is kept: some 600 bytes a document.
     sketched = scratch.keep(_sketched(rows, k), "sketches")
-    classes = sketched.where("n > 0 AND id IS NOT NULL").groupBy("n", "whole").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = scratch.keep(sketched.where("n > 0 AND id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     # Sketches of one row for each class: its least id's first row.
-    reps = sketched.join(classes.select("n", "whole", F.col("rep").alias("id")), ["n", "whole", "id"]).dropDuplicates(["id", "whole"])
+    reps = sketched.join(classes.select("whole", F.col("rep").alias("id")), ["whole", "id"]).dropDuplicates(["id", "whole"])
     reps = scratch.keep(reps.select("id", "n", "bits", "keys"), "reps")
-    traits = reps.select("id", "n", "bits")
 
     entries = reps.select(F.explode("keys").alias("key"), "id")
     buckets = entries.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     stars = scratch.keep(entries.join(buckets, "key").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct(), "stars")
-    star = _compared(stars, rows, k, scratch, "star", added=True)
-    links = scratch.keep(star.where(_is_link(percent)).select("u", "v"), "links-1")
-    found = scratch.keep(components(links, scratch, "cc-1"), "components-1")
-
-    def placed(members: DataFrame, found: DataFrame) -> DataFrame:
-        """Members with their component and that of their hub, which is a component of its own where no link was found."""
-        at = members.join(found.select(F.col("node").alias("v"), "component"), "v", "left").join(found.select(F.col("node").alias("u"), F.col("component").alias("main")), "u", "left")
-        return at.withColumn("component", F.coalesce("component", "v")).withColumn("main", F.coalesce("main", "u"))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        at = pairs.distinct().join(traits.select(F.col("id").alias("v"), F.struct("n", "bits").alias("b")), "v")
-        return at.join(traits.select(F.col("id").alias("u"), F.struct("n", "bits").alias("a")), "u").where(_possible("a", "b", percent)).select("u", "v")
-
-    members = placed(star, found)
-    mixed = members.where("component <> main").select("u").distinct()
-    members = scratch.keep(members.join(mixed, "u", "left_semi").select("u", "v", "nu", "nv", "both", "added"), "members")
+    star = _compared(stars, rows, k, scratch, "star")
+    links = scratch.keep(star.where(_is_link(percent)).select("u", "v"), "links")
+    found = scratch.keep(components(links, scratch, "cc"), "components")
+
+    # Hubs with a member that no link has brought to them.
+    open_ = star.join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").join(found.select(F.col("node").alias("u"), F.col("component").alias("h")), "u", "left")
+    open_ = open_.where(F.coalesce("c", "v") != F.coalesce("h", "u")).select("u").distinct()
+    members = star.join(open_, "u", "left_semi").join(reps.select(F.col("id").alias("v"), "bits"), "v")
+    members = members.withColumn("added", F.size("plus")).withColumn("removed", F.size("minus")).withColumn("map", _bitmap(F.concat("plus", "minus")))
+    members = scratch.keep(members, "members")
     scratch.drop("star")
-
-    # Prefix filter: a link needs so many common added shingles that, in one order of them, the pair meets among the
-    # first of both members' lists. Rare ones come first, so passages of many documents hardly make a pair.
-    entry = members.select("u", "v", "nv", "both", F.size("added").alias("size"), F.explode("added").alias("s"))
-    counted = entry.join(entry.groupBy("u", "s").agg(F.count("*").alias("c")), ["u", "s"])
-    need = F.ceil(F.col("nv") * percent / 100) - F.col("both")
-    rank = F.row_number().over(Window.partitionBy("u", "v").orderBy("c", "s"))
-    prefix = counted.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.greatest(need, F.lit(1)) + 1) & (F.col("c") > 1)).select("u", "v", "s")
-    prefix = scratch.keep(prefix, "prefix")
-
-    # Stars over (hub, added shingle): linear in the entries, they join families that their hub is not part of.
-    now = placed(prefix, found)
-    heads = now.groupBy("u", "s").agg(F.min(F.struct("v", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "s", "head")
-    second = now.join(heads, ["u", "s"]).where(F.col("component") != F.col("head.component")).select(F.col("head.v").alias("u"), "v")
-    tried = scratch.keep(plausible(second), "pairs-2")
-    more = _compared(tried, rows, k, scratch, "links-2").where(_is_link(percent)).select("u", "v")
-    links = links.unionByName(more)
-    found = scratch.keep(components(links, scratch, "cc-2"), "components-2")
-
-    # What is left: members outside their hub's component with members of other components.
-    entry = placed(prefix, found)
-    keys = entry.groupBy("u", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "s")
-    looks = traits.withColumnRenamed("id", "v")
-    entry = scratch.keep(entry.join(keys, ["u", "s"], "left_semi").join(looks, "v"), "prefix-2")
-    differ = F.col("a.component") != F.col("b.component")
-    possible = _possible("a", "b", percent)
-    pair = (F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v"))
-    sharing = entry.where("component <> main").alias("a").join(entry.alias("b"), (F.col("a.u") == F.col("b.u")) & (F.col("a.s") == F.col("b.s")) & differ & possible).select(*pair)
-    slim = scratch.keep(placed(members.select("u", "v", "nv", "both"), found).join(looks, "v"), "slim")
-    # Without a common added shingle two members share at most what the one that kept less of the hub kept.
-    shared = F.least("a.both", "b.both")
-    bound = shared * 100 >= (F.col("a.nv") + F.col("b.nv") - shared) * percent
-    bare = slim.where("component <> main").alias("a").join(slim.alias("b"), (F.col("a.u") == F.col("b.u")) & differ & bound & possible).select(*pair)
-    third = scratch.keep(sharing.unionByName(bare).distinct(), "pairs-3")
-    third = scratch.keep(third.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs-4")
-    last = _compared(third, rows, k, scratch, "links-3").where(_is_link(percent)).select("u", "v")
-    found = scratch.keep(components(links.unionByName(last), scratch, "cc-3"), "components-3")
-
-    by_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "n", "whole", F.coalesce("component", "rep").alias("component"), "copies"
-    )
-    out = sketched.select("id", "n", "whole").join(by_class, ["n", "whole"], "left")
+    found = _joined_families(members, links, found, percent, scratch)
+
+    by_class = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("whole", F.coalesce("component", "rep").alias("component"), "copies")
+    by_class = scratch.keep(by_class, "by-class")
+    return _labelled(sketched.select("id", "n", "whole"), by_class), scratch
+
+
+def _labelled(rows: DataFrame, by_class: DataFrame) -> DataFrame:
+    """Each row with its class. Classes of over a thousandth of all rows, a thousand at most, are sent to all tasks instead of dealt out."""
+    least = by_class.agg(F.sum("copies")).first()[0] or 0
+    hot = by_class.where(F.col("copies") * 1000 > least)
+    known = F.broadcast(hot.select("whole", F.col("component").alias("hot_component"), F.col("copies").alias("hot_copies")))
+    at = rows.join(known, "whole", "left")
+    # A row of a hot class looks for nothing: its key is null.
+    rest = at.withColumn("seek", F.when(F.col("hot_copies").isNull() & (F.col("n") > 0) & F.col("id").isNotNull(), F.col("whole")))
+    out = rest.where("seek IS NOT NULL").join(by_class.withColumnRenamed("whole", "seek"), "seek", "left").select("id", "n", "component", "copies")
+    out = out.unionByName(rest.where("seek IS NULL").select("id", "n", F.col("hot_component").alias("component"), F.col("hot_copies").alias("copies")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"),
-    ), scratch
-
+        F.coalesce(F.when(F.col("id").isNotNull(), F.col("copies")), F.lit(1)).cast("bigint").alias("n_copies"),
+    )
