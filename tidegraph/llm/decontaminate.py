@@ -10,12 +10,15 @@ by at most e from the passage's own. So:
    the window to the best passage of the band), many at a time.
 A text is contaminated by an item if a window of it is found within its budget: 2 edits in 48 characters, 5 in 96.
 
-The benchmark goes to the executors in blocks of at most BLOCK_CHARS characters, so a larger one takes
-more passes and no more memory.
+An item of under Q normalised characters has no q-gram; it is found where it is a whole line of a text.
+
+The benchmark goes to the executors in blocks of at most about BLOCK_CHARS characters (40 bytes of index each, some 45 MB),
+so a larger one takes more passes and no more memory. Longer items are cut into overlapping pieces, each
+with its own rows in the result. A block's items are looked up in parts, and hits are gathered over stretches of text of
+about HITS hits, so that a q-gram of very many items does not multiply a long text.
 
 Results. One row for each contaminated row of docs and item; a clean text has none. Null and empty texts are
-clean; null items, and items of under MIN_CHARS normalised characters, which would
-say nothing of a leak, are never found. Repeated rows give repeated results. Empty tables give an empty result.
+clean; null and empty items are never found. Repeated rows give repeated results. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +38,13 @@ Q = 12
 #: Short windows find excerpts; long ones have room for edits that lie close together.
 WINDOWS = (96, 48)
 BUDGET = 0.06
-MIN_CHARS = 20
-BLOCK_CHARS = 4 << 20
-FILTER_BITS = 22
+BLOCK_CHARS = 1 << 20
+#: Items of one part of a block hold about so many characters.
+PART_CHARS = 1 << 17
+#: Pieces of longer items, and by how much they overlap.
+PIECE_CHARS, PIECE_OVERLAP = 1 << 17, 1024
+HITS = 1 << 20
+FILTER_BITS = 21
 U = np.uint64
 #: Stands between texts; no character has this code.
 BREAK = 0x110000
@@ -94,7 +101,7 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one block of the benchmark and where each q-gram stands in them."""
 
-    items: np.ndarray  # numbers of the items that are long enough
+    items: np.ndarray  # numbers of the items that have q-grams
     codes: np.ndarray  # these items, one after the other
     starts: np.ndarray  # place of each item in codes
     lengths: np.ndarray
@@ -105,24 +112,46 @@ class Index:
     filter: np.ndarray
 
 
-def build(texts: list[str]) -> Index:
-    items, rows = [], []
+@dataclass
+class Block:
+    """Indices of the parts of a block, and its items without q-grams by their normalised text."""
+
+    parts: list[Index]
+    short: dict[str, list[int]]
+
+
+def build(texts: list[str]) -> Block:
+    """The block of items that are numbered as in texts."""
+    parts, short = [], {}
+    items, rows, held = [], [], 0
     for i, text in enumerate(texts):
         codes, _ = normalise(codes_of(text.strip()))
-        if len(codes) >= MIN_CHARS:
+        if len(codes) >= Q:
             items.append(i)
             rows.append(codes)
+            held += len(codes)
+        elif len(codes):
+            short.setdefault(codes.tobytes().decode("utf-32-le", "surrogatepass"), []).append(i)
+        if held >= PART_CHARS:
+            parts.append(_index(items, rows))
+            items, rows, held = [], [], 0
+    if rows:
+        parts.append(_index(items, rows))
+    return Block(parts, short)
+
+
+def _index(items: list[int], rows: list[np.ndarray]) -> Index:
     lengths = np.array([len(r) for r in rows], np.int64)
     grams = [gram_hashes(r) for r in rows]
-    hashes = np.concatenate(grams) if grams else np.zeros(0, U)
+    hashes = np.concatenate(grams)
     own = np.repeat(np.arange(len(rows)), [len(g) for g in grams]).astype(np.int64)
-    place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+    place = np.concatenate([np.arange(len(g)) for g in grams])
     order = np.argsort(hashes, kind="stable")
     different, first = np.unique(hashes[order], return_index=True)
     table = np.zeros(1 << FILTER_BITS, bool)
     table[(different >> U(64 - FILTER_BITS)).astype(np.int64)] = True
     return Index(
-        np.array(items, np.int64), np.concatenate(rows) if rows else np.zeros(0, np.uint32), np.cumsum(lengths) - lengths, lengths,
+        np.array(items, np.int64), np.concatenate(rows), np.cumsum(lengths) - lengths, lengths,
         different, np.append(first, len(hashes)), own[order], place[order], table,
     )
 
@@ -174,10 +203,8 @@ def align(windows: np.ndarray, lengths: np.ndarray, text: np.ndarray, at: np.nda
     return best, where
 
 
-def search(chunk_texts: list[str], index: Index) -> list[tuple[int, int, int, int, int, int]]:
+def search(chunk_texts: list[str], block: Block) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, windows found, least edits, start, end) in original characters, for each contaminated text and item."""
-    if not len(index.items):
-        return []
     raw = codes_of("\x00".join(chunk_texts)).copy()
     sizes = np.array([len(t) for t in chunk_texts], np.int64)
     first = np.zeros(len(sizes) + 1, np.int64)
@@ -185,11 +212,52 @@ def search(chunk_texts: list[str], index: Index) -> list[tuple[int, int, int, in
     raw[first[1:-1] - 1] = BREAK
     codes, at = normalise(raw)
     hashes = gram_hashes(codes)
-    places = np.flatnonzero(index.filter[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)])
-    found = hashes[places]
-    k = np.minimum(np.searchsorted(index.grams, found), len(index.grams) - 1)
-    real = index.grams[k] == found
-    places, k = places[real], k[real]
+    out = _short_lines(chunk_texts, block.short) if block.short else []
+    for index in block.parts:
+        places = np.flatnonzero(index.filter[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(index.grams, hashes[places]), len(index.grams) - 1)
+        real = index.grams[k] == hashes[places]
+        places, k = places[real], k[real]
+        found = [_matches(index, codes, at, first, places[a:b], k[a:b]) for a, b in _stretches(places, index.offsets[k + 1] - index.offsets[k])]
+        out += _merged(index, found)
+    return sorted(out)
+
+
+def _stretches(places: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of hit places of about HITS hits; neighbours overlap by what a window and its edits can span."""
+    reach = 2 * max(WINDOWS)
+    total = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=total[1:])
+    a = 0
+    while a < len(places):
+        b = max(int(np.searchsorted(total, total[a] + HITS, side="right")) - 1, int(np.searchsorted(places, places[a] + 2 * reach)))
+        b = min(max(b, a + 1), len(places))
+        yield a, b
+        if b == len(places):
+            return
+        a = int(np.searchsorted(places, places[b] - reach))
+
+
+def _short_lines(texts: list[str], short: dict[str, list[int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows of items without q-grams: the first line of a text that equals them."""
+    out = []
+    for t, text in enumerate(texts):
+        at, seen = 0, set()
+        for line in text.split("\n"):
+            body = line.strip()
+            if body:
+                codes, _ = normalise(codes_of(body))
+                key = codes.tobytes().decode("utf-32-le", "surrogatepass") if len(codes) < Q else ""
+                if key in short and key not in seen:
+                    seen.add(key)
+                    start = at + line.index(body)
+                    out += [(t, i, 1, 0, start, start + len(body)) for i in short[key]]
+            at += len(line) + 1
+    return out
+
+
+def _matches(index: Index, codes: np.ndarray, at: np.ndarray, first: np.ndarray, places: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Rows (text, item, window, edits, start, end), as columns, of the windows found at hit places; k: their q-grams."""
     counts = index.offsets[k + 1] - index.offsets[k]
     entry = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(index.offsets[k], counts)
     item, x = index.entry_item[entry], index.entry_at[entry]
@@ -223,12 +291,15 @@ def search(chunk_texts: list[str], index: Index) -> list[tuple[int, int, int, in
             stop = at[np.minimum(end[good], len(at)) - 1] + 1
             text = np.searchsorted(first, (begin + stop) // 2, side="right") - 1
             found_rows.append(np.stack([text, it[good], place[good] * len(WINDOWS) + kind, edits[good], np.maximum(begin - first[text], 0), stop - first[text]]))
-    if not found_rows:
-        return []
-    got = np.concatenate(found_rows, axis=1)
-    got = got[:, np.lexsort(got[2::-1])]
+    return np.concatenate(found_rows, axis=1) if found_rows else np.zeros((6, 0), np.int64)
+
+
+def _merged(index: Index, found: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
+    """One row for each text and item; a window that two stretches found counts once."""
+    got = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
     if not got.shape[1]:
         return []
+    got = got[:, np.lexsort(got[2::-1])]
     new = np.ones(got.shape[1], bool)
     new[1:] = (got[:2, 1:] != got[:2, :-1]).any(0)
     other = new.copy()
@@ -241,7 +312,9 @@ def search(chunk_texts: list[str], index: Index) -> list[tuple[int, int, int, in
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Items and texts of the benchmark, block by block; a block holds about block_chars characters."""
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
+    whole = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("__whole"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("__whole") - PIECE_OVERLAP, F.lit(1)), F.lit(PIECE_CHARS))
+    rows = whole.select("item", "__whole", F.explode(places).alias("at")).select("item", F.substring("__whole", F.col("at"), F.lit(PIECE_CHARS + PIECE_OVERLAP)).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for b in range(n):
@@ -267,7 +340,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, index = shared.value
-            for chunk in tb.chunks(batches, "__text", 2 << 20):
+            for chunk in tb.chunks(batches, "__text"):
                 found = search(_texts(chunk), index)
                 if found:
                     take = pa.array([f[0] for f in found], pa.int64())
@@ -287,7 +360,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
         shared = spark.sparkContext.broadcast(build(texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for chunk in tb.chunks(batches, text, 2 << 20):
+            for chunk in tb.chunks(batches, text):
                 stay = np.ones(chunk.n, bool)
                 stay[[f[0] for f in search(_texts(chunk), shared.value)]] = False
                 yield chunk.batch.filter(pa.array(stay))

@@ -317,7 +317,7 @@ def _decode_bytes(raw: bytes) -> str:
 
 
 class _Digest:
-    """Remembers a unit's ids as text and its decoded text, so that common words cost one lookup.
+    """Remembers a unit's ids as text and the text decoded from them, so that common words cost one lookup.
 
     When the memory is full it becomes the old one, from which a unit that returns is taken back.
     """
@@ -332,9 +332,7 @@ class _Digest:
         if found is None:
             codec = self.codec
             ids = codec.unit(unit)
-            names = codec.names
-            plain = codec.bytes_of.keys().isdisjoint(ids)
-            found = (" ".join([names[i] for i in ids]), len(ids), unit.replace(SPACE, " ") if plain else codec.pieces_text(ids))
+            found = (" ".join([codec.names[i] for i in ids]), len(ids), codec.pieces_text(ids))
             if len(unit) > LONG_UNIT:
                 return found
         if len(self.memory) >= REMEMBERED:

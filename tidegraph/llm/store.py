@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        # Results are read lazily, so what no caller drops goes when the driver ends.
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            self.drop()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return the table as read back."""

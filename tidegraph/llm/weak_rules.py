@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm import textbatch as tb
+from tidegraph.llm.store import Scratch
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -136,7 +137,8 @@ def votes(r: dict[str, np.ndarray]) -> np.ndarray:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Prior of the good class and chances [class, rule, outcome], from counted vote vectors.
 
-    Outcomes are 0 bad, 1 good, 2 abstains. The start is the share of good votes, and a
+    Outcomes are 0 bad, 1 good, 2 abstains. The start is a share of good votes in which, by hand, a bad vote weighs four
+    times a good one; it only decides which of the two hidden classes is the good one and where the rounds begin. A
     small count is added everywhere, so that no chance is 0.
     """
     n_rules = patterns.shape[1]
@@ -187,10 +189,11 @@ def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def quality(docs: DataFrame, *, text: str = "text", keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, base verdict, posterior and kept flag of every document.
 
-    Two passes over the texts: one counts the vote vectors, one applies what was learnt. Only the
-    counts of the different vote vectors come to the driver (3**9 at most).
+    One pass over the texts: counts and votes are written with the kept columns, and what was learnt of all votes is
+    applied to that table. Only the counts of the different vote vectors come to the driver (3**9 at most).
     """
-    counted = _measured(docs, text, []).groupBy("pattern").count().collect()
+    measured = Scratch(docs.sparkSession, "rules").keep(_measured(docs, text, keep), "measured")
+    counted = measured.groupBy("pattern").count().collect()
     n_rules = len(RULES)
     codes = np.array([r["pattern"] for r in counted], np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(n_rules, dtype=np.int64)) % 3 - 1
@@ -202,6 +205,5 @@ def quality(docs: DataFrame, *, text: str = "text", keep: list[str], threshold:
         vote = (F.col("pattern") / 3**k).cast("bigint") % 3
         abstain, bad, good = (float(gains[k, j]) for j in (2, 0, 1))
         odds = odds + F.when(vote == 0, abstain).when(vote == 1, bad).otherwise(good)
-    measured = _measured(docs, text, keep)
     posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
     return measured.withColumn("quality_posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("quality_posterior") >= threshold)).drop("pattern")
