@@ -28,7 +28,7 @@ def _own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules reject go."""
     renamed, names = _own_names(docs)
-    judged = weak_rules.quality(renamed, text=names["text"], keep=[*names.values()])
+    judged = weak_rules.quality(renamed, text=names["text"], keep=[*names.values()], twice=True)
     return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

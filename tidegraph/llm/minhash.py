@@ -234,7 +234,7 @@ def _compared(pairs: DataFrame, rows: DataFrame, k: int, scratch: Scratch, name:
     return out
 
 
-def _entries(members: DataFrame, percent: int) -> DataFrame:
+def _entries(members: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Cells (u, kind, s) of the members that can have a link with a member of another component there.
 
     Let a and b be members of one hub of H shingles, x+ and x- the numbers that x adds and removes, t = percent / (100 + percent).
@@ -260,8 +260,18 @@ def _entries(members: DataFrame, percent: int) -> DataFrame:
     size = F.when(F.col("kind") == 0, F.col("added")).otherwise(F.col("removed"))
     need = F.when(F.col("kind") == 0, F.greatest(F.floor(more * percent / t) + 1, F.lit(1))).otherwise(F.floor((F.col("removed") * 100 + F.col("added") * percent) / t) + 1)
     short = (size - F.col("many") + F.col("rank") <= size - need + 1) & ((F.col("kind") == 0) | (more < 0))
-    out = shared.withColumn("rank", rank).withColumn("many", many).withColumn("short", short)
-    return out.where("short OR far").select("u", "kind", "s", "v", "short")
+    marked = shared.withColumn("rank", rank).withColumn("many", many).withColumn("short", short).where("short OR far").select("u", "kind", "s", "v", "component", "far", "short")
+    marked = scratch.keep(marked, f"{name}-marked")
+    # Short prefixes of two members outside meet, and those inside meet all elements of members outside: what is left of the cells.
+    meeting = (
+        marked.groupBy("u", "kind", "s")
+        .agg(F.sum((F.col("short") & ~F.col("far")).cast("int")).alias("inside"), F.sum((F.col("short") & F.col("far")).cast("int")).alias("outside"), F.max("far").alias("any"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("any AND lo <> hi AND (inside > 0 OR outside > 1)")
+        .select("u", "kind", "s", (F.col("inside") > 0).alias("inside"))
+    )
+    out = scratch.keep(marked.join(meeting, ["u", "kind", "s"]).where("short OR inside").select("u", "kind", "s", "v", "short"), name)
+    scratch.drop(f"{name}-marked")
+    return out
 
 
 def _is_link(percent: int) -> Column:
@@ -269,17 +279,16 @@ def _is_link(percent: int) -> Column:
 
 
 #: Rounds of stars over cells at most; what they leave is compared member by member, so no link depends on it.
-STAR_ROUNDS = 8
+STAR_ROUNDS = 3
 
 
 def _joined_families(members: DataFrame, links: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Components (node, component) with all links among members (u, v, hub, n, plus, minus, bits) of the same hub."""
 
-    def placed(found: DataFrame) -> DataFrame:
+    def placed(found: DataFrame, name: str) -> DataFrame:
         at = members.join(found.select(F.col("node").alias("v"), "component"), "v", "left").join(found.select(F.col("node").alias("u"), F.col("component").alias("main")), "u", "left")
-        at = at.withColumn("component", F.coalesce("component", "v")).withColumn("main", F.coalesce("main", "u")).withColumn("far", F.col("component") != F.col("main")).drop("main")
-        mixed = at.where("far").select("u").distinct()
-        return at.join(mixed, "u", "left_semi")
+        at = at.withColumn("component", F.coalesce("component", "v")).withColumn("far", F.col("component") != F.coalesce("main", "u"))
+        return scratch.keep(at.drop("main"), name)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (u, a, b), from the differences of both to their hub."""
@@ -291,8 +300,8 @@ def _joined_families(members: DataFrame, links: DataFrame, found: DataFrame, per
     looks = lambda x, at: at.select("u", F.col("v").alias(x), F.struct("component", "far", "hub", "n", "added", "removed", "map", "bits").alias(x + "_"))
     fits = (F.col("a_.component") != F.col("b_.component")) & _possible("a_", "b_", percent) & _may_share("a_", "b_", percent)
     for r in range(STAR_ROUNDS):
-        at = placed(found)
-        entries = scratch.keep(_entries(at, percent), f"entries-{r}")
+        at = placed(found, f"placed-{r}")
+        entries = _entries(at, percent, scratch, f"entries-{r}")
         at = at.select(*slim)
         heads = entries.groupBy("u", "kind", "s").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)), F.col("v").alias("v")))["v"].alias("a"))
         pairs = entries.join(heads, ["u", "kind", "s"]).where("v <> a").select("u", F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
@@ -305,8 +314,9 @@ def _joined_families(members: DataFrame, links: DataFrame, found: DataFrame, per
         if last:
             break
         scratch.drop(f"entries-{r}")
+        scratch.drop(f"placed-{r}")
     # Short prefixes meet each other, and those of members inside the hub's component meet all elements of those outside.
-    at = placed(found).select(*slim)
+    at = placed(found, "placed").select(*slim) if not new.isEmpty() else at
     side = entries.join(at, ["u", "v"]).select("u", "kind", "s", "short", F.struct("v", *slim[2:]).alias("m"))
     a, b = side.select("u", "kind", "s", F.col("short").alias("a_short"), F.col("m").alias("a_")), side.where("short").select("u", "kind", "s", F.col("m").alias("b_"))
     meet = F.col("a_.far") & fits & F.when(F.col("b_.far"), F.col("a_short") & (F.col("a_.v") < F.col("b_.v"))).otherwise(True)

@@ -186,14 +186,15 @@ def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def quality(docs: DataFrame, *, text: str = "text", keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, *, text: str = "text", keep: list[str], threshold: float = THRESHOLD, twice: bool = False) -> DataFrame:
     """Base counts, base verdict, posterior and kept flag of every document.
 
     One pass over the texts: counts and votes are written with the kept columns, and what was learnt of all votes is
-    applied to that table. Only the counts of the different vote vectors come to the driver (3**9 at most).
+    applied to that table. With twice, which suits a kept text, the texts are read twice instead and nothing is
+    written. Only the counts of the different vote vectors come to the driver (3**9 at most).
     """
-    measured = Scratch(docs.sparkSession, "rules").keep(_measured(docs, text, keep), "measured")
-    counted = measured.groupBy("pattern").count().collect()
+    measured = _measured(docs, text, keep) if twice else Scratch(docs.sparkSession, "rules").keep(_measured(docs, text, keep), "measured")
+    counted = (_measured(docs, text, []) if twice else measured).groupBy("pattern").count().collect()
     n_rules = len(RULES)
     codes = np.array([r["pattern"] for r in counted], np.int64)
     patterns = (codes[:, None] // 3 ** np.arange(n_rules, dtype=np.int64)) % 3 - 1
