@@ -223,6 +223,36 @@ def test_scores_base_and_probability(spark, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_scores_are_those_of_a_plain_loop(spark, texts):
+    """Scores do not depend on the layout, and equal a token by token pass of the trained network."""
+    some = dict(sorted(texts.items())[:60]) | {10**6: "", 10**6 + 1: None, 10**6 + 2: "word " * 3000}
+    df = spark.createDataFrame(list(some.items()), "doc_id bigint, text string")
+    held = subword_classifier.remainder("doc_id", 5) == 1
+    got = {n: by_id(gru_lm.scores(df.repartition(n), held)[0]) for n in (1, 5)}
+    train = df.where(~held).select(F.col("doc_id").alias("id"), F.col("text").alias("__text"))
+    v, ends = gru_lm.vocabulary(gru_lm.counted(train.select("__text")))
+    net = gru_lm.trained(train, v, ends)
+    shape_log = np.log(v.shape_tokens + 0.5 * (v.shape_words + 1))
+    for d, t in some.items():
+        chunk = next(tb.chunks([pa.RecordBatch.from_arrays([pa.array([t or ""])], names=["text"])]))
+        codes, shapes, _ = gru_lm.word_codes(chunk)
+        h, before, total = np.zeros((1, gru_lm.HIDDEN), np.float32), gru_lm.INPUTS - 1, 0.0
+        for code, shape in [*zip(codes, shapes), (None, 0)]:
+            h, _ = net.step(h, np.array([before]))
+            logits = (h @ net.p["c"] + net.p["cb"])[0].astype(float)
+            c, n = v.lookup(np.array([code], np.uint64)) if code is not None else (np.array([0]), np.array([-1]))
+            cls = gru_lm.END_CLASS if code is None else int(n[0]) // gru_lm.CLASS if n[0] >= 0 else gru_lm.HEAD_CLASSES + int(shape)
+            total += logits[cls] - math.log(np.exp(logits).sum())
+            if code is not None and n[0] >= 0:
+                inner = (h @ net.p["w"][cls] + net.p["wb"][cls])[0].astype(float)
+                total += inner[int(n[0]) % gru_lm.CLASS] - math.log(np.exp(inner).sum())
+            elif code is not None:
+                total += math.log(max(int(c[0]), 0) + 0.5) - shape_log[int(shape)]
+            before = gru_lm.INPUTS - 1 if code is None else int(n[0]) if n[0] >= 0 else gru_lm.HEAD + int(shape)
+        assert abs(got[1][d].score - total / math.log(10)) < 1e-3 + 1e-5 * abs(total)
+        assert abs(got[1][d].score - got[5][d].score) < 1e-3 + 1e-6 * abs(total)
+
+
 def small_network():
     v = gru_lm.Vocabulary(np.arange(1, 6, dtype=np.uint64), np.array([9, 7, 5, 3, 2]), 40, 9, np.arange(gru_lm.SHAPES), np.ones(gru_lm.SHAPES, int), np.arange(1, 6, dtype=np.uint64))
     net = gru_lm.Network.start(v, 4)

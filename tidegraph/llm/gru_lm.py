@@ -6,10 +6,12 @@ p(class | state) * p(word | class): a head class holds 64 words and has its own
 state; a shape is a class whose words have their add-half share of the shape's training tokens, so
 all words, unknown ones too, have a probability, and the score is that of the whole text.
 
-Training. Each task of the corpus trains a copy of the network on its own training texts by backpropagation truncated to
+Training. Training rows are dealt into shards by a hash of id and text, in the order of that hash, so the
+model depends on the rows alone and not on how they lie in files or tasks. A shard holds about SHARD_TOKENS tokens (more if
+that made more than SHARDS shards). Each shard trains a copy of the network by backpropagation truncated to
 windows of STEPS words, with the state carried on from window to window; the copies are averaged, weighted by their
-words, in a tree of two levels, and the next round starts from the average. Every round trains on every token of
-every training text, whatever the size of the input. Counts (of words, shapes, training tokens) are those of all training texts.
+words, slice by slice of the weights. A round trains on every token of
+every training text, whatever the size of the input; the next one starts from the average. Counts (of words, shapes, training tokens) are those of all training texts.
 
 Scoring. Texts of a task run side by side, sorted by length; the state goes through the whole of each
 text, window by window. Counts of the BROADCAST_WORDS commonest words go to all tasks; those of all others are joined.
@@ -21,6 +23,7 @@ results. An empty table gives an empty result; with no training text every count
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -43,9 +46,13 @@ CLASSES = END_CLASS + 1
 #: Inputs: head words, shapes, the end (also what comes before the first word).
 INPUTS = HEAD + SHAPES + 1
 STEPS = 24
-LANES = 128
-ROUNDS = 2
+LANES = 512
+ROUNDS = 1
 RATE = 0.08
+SHARD_TOKENS = 2_000_000
+SHARDS = 4096
+#: Weights are averaged in so many slices, each a group of at most SHARDS rows.
+SLICES = 64
 BROADCAST_WORDS = 1 << 18
 SCORE_WORDS = 2_500_000
 END = 0x1F3D5B79
@@ -86,14 +93,34 @@ class Vocabulary:
         self.head_counts = self.counts[at]
         self.shape_tokens, self.shape_words = shape_tokens, shape_words
 
+    def _buckets(self) -> None:
+        """First word of each value of the hashes' upper bits, about four values a word, and the longest bucket."""
+        self.shift = U(64 - max(1, int(len(self.hashes) * 4).bit_length()))
+        top = (self.hashes >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange(int(U(0xFFFFFFFFFFFFFFFF) >> self.shift) + 1)).astype(np.int32)
+        self.longest = int(np.bincount(top).max())
+
     def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1: not here) and head number (-1: none) of each word."""
         if not len(self.hashes):
             none = np.full(len(codes), -1, np.int64)
             return none, none
-        at = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
-        here = self.hashes[at] == codes
-        return np.where(here, self.counts[at], -1), np.where(here, self.number[at], -1)
+        if not hasattr(self, "first"):
+            self._buckets()
+        at = self.first[codes >> self.shift]
+        found = np.full(len(codes), -1, np.int64)
+        last = len(self.hashes) - 1
+        hit = self.hashes[np.minimum(at, last)] == codes
+        found[hit] = at[hit]
+        open_ = np.flatnonzero(~hit)
+        for k in range(1, self.longest):
+            place = np.minimum(at[open_] + k, last)
+            there = self.hashes[place]
+            hit = there == codes[open_]
+            found[open_[hit]] = place[hit]
+            open_ = open_[there < codes[open_]]
+        here = found >= 0
+        return np.where(here, self.counts[found], -1), np.where(here, self.number[found], -1)
 
 
 class Network:
@@ -132,22 +159,22 @@ class Network:
 
     def log_probabilities(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of p(class) and, in head classes, of p(word | class), for states and targets."""
-        logits = h @ self.p["c"] + self.p["cb"]
-        out = (logits[np.arange(len(h)), classes] - _log_sum(logits)).astype(np.float64)
+        out = _log_softmax(h @ self.p["c"] + self.p["cb"], classes)
         for c, at in _by_class(classes):
-            inner = h[at] @ self.p["w"][c] + self.p["wb"][c]
-            out[at] += inner[np.arange(len(at)), words[at]] - _log_sum(inner)
+            out[at] += _log_softmax(h[at] @ self.p["w"][c] + self.p["wb"][c], words[at])
         return out
 
     def train(self, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
         """One step on a window [steps, lanes] from state h; fresh marks where a text starts. Returns the last state."""
         grads, h, _ = self.gradients(inputs, classes, words, fresh, h)
+        used = np.flatnonzero(np.bincount(inputs.ravel(), minlength=INPUTS))
         for k, g in grads.items():
             # Inputs that do not occur have no gradient.
-            rows = np.unique(inputs) if k == "x" else slice(None)
+            rows = used if k == "x" else slice(None)
             g = np.clip(g[rows], -1, 1)
-            self.g[k][rows] += g * g
-            self.p[k][rows] -= F32(rate) * g / np.sqrt(self.g[k][rows])
+            total = self.g[k][rows] + g * g
+            self.g[k][rows] = total
+            self.p[k][rows] -= F32(rate) * g / np.sqrt(total)
         return h
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -159,49 +186,73 @@ class Network:
             h, tape = self.step(h, inputs[t])
             states[t] = h
             kept.append(tape)
-        flat, scale = states.reshape(-1, n), 1 / lanes
+        flat, scale = states.reshape(-1, n), h.dtype.type(1 / lanes)
         target, word = classes.ravel(), words.ravel()
-        logits = flat @ p["c"] + p["cb"]
-        prob = np.exp(logits - _log_sum(logits)[:, None])
-        loss = -np.log(np.maximum(prob[np.arange(len(flat)), target], 1e-30)).sum() * scale
-        prob[np.arange(len(flat)), target] -= 1
-        prob *= h.dtype.type(scale)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        every = np.arange(len(flat))
+        prob, total = _exponentials(flat @ p["c"] + p["cb"])
+        prob *= (1 / total)[:, None]
+        loss = -np.log(np.maximum(prob[every, target], 1e-30)).sum()
+        prob[every, target] -= 1
+        # All gradients are sums over the window; they are scaled by the lanes at the end.
+        grads = {k: np.zeros_like(v) for k, v in p.items() if k in ("x", "u", "w", "wb")}
         grads["c"], grads["cb"] = flat.T @ prob, prob.sum(0)
         back = prob @ p["c"].T
         for c, at in _by_class(target):
-            own = flat[at]
-            inner = own @ p["w"][c] + p["wb"][c]
-            q = np.exp(inner - _log_sum(inner)[:, None])
-            loss -= np.log(np.maximum(q[np.arange(len(at)), word[at]], 1e-30)).sum() * scale
-            q[np.arange(len(at)), word[at]] -= 1
-            q *= h.dtype.type(scale)
+            own, of = flat[at], word[at]
+            q, total = _exponentials(own @ p["w"][c] + p["wb"][c])
+            q *= (1 / total)[:, None]
+            loss -= np.log(np.maximum(q[every[: len(at)], of], 1e-30)).sum()
+            q[every[: len(at)], of] -= 1
             grads["w"][c], grads["wb"][c] = own.T @ q, q.sum(0)
             back[at] += q @ p["w"][c].T
         back = back.reshape(steps, lanes, n)
         dh = np.zeros((lanes, n), h.dtype)
-        da = np.empty((steps, lanes, 3 * n), h.dtype)
+        da, dr = np.empty((steps, lanes, 3 * n), h.dtype), np.empty((steps, lanes, 3 * n), h.dtype)
         for t in reversed(range(steps)):
             before, z, reset, new, rn = kept[t]
             dh = dh + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dreset = dnew * rn * reset * (1 - reset)
-            da[t] = np.concatenate([dz, dreset, dnew], 1)
-            dr = np.concatenate([dz, dreset, dnew * reset], 1)
-            grads["u"] += before.T @ dr
-            dh = (dh * z + dr @ p["u"].T) * ~fresh[t][:, None]
+            keep = dh * z
+            dnew = (dh - keep) * (1 - new * new)
+            da[t, :, :n] = (before - new) * keep * (1 - z)
+            da[t, :, n : 2 * n] = dnew * rn * reset * (1 - reset)
+            da[t, :, 2 * n :] = dnew
+            dr[t, :, : 2 * n] = da[t, :, : 2 * n]
+            dr[t, :, 2 * n :] = dnew * reset
+            dh = (keep + dr[t] @ p["u"].T) * ~fresh[t][:, None]
+        grads["u"] = np.concatenate([k[0] for k in kept]).T @ dr.reshape(-1, 3 * n)
         flat_da, flat_in = da.reshape(-1, 3 * n), inputs.ravel()
         grads["b"] = flat_da.sum(0)
         order = np.argsort(flat_in, kind="stable")
         which, first = np.unique(flat_in[order], return_index=True)
         grads["x"][which] = np.add.reduceat(flat_da[order], first, axis=0)
+        for g in grads.values():
+            g *= scale
+        loss *= scale
         return grads, h, float(loss)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return np.log(np.exp(x - top[:, None]).sum(1)) + top
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row less a common shift, in place of x, and the rows' sums. The shift is the largest element of all, which
+    is quick to find; only if a row lies so far below it that its sum is lost are rows shifted by their own."""
+    if not x.size:
+        return x, np.ones(len(x), x.dtype)
+    e = np.exp(x - x.max())
+    total = e @ np.ones(x.shape[1], x.dtype)
+    if total.min() < 1e-25:
+        e = np.exp(x - x.max(1)[:, None])
+        total = e.sum(1)
+    return e, total
+
+
+def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of element at[i] in row i, as doubles."""
+    own = x[np.arange(len(x)), at].astype(np.float64)
+    top = x.max() if x.size else 0
+    total = np.exp(x - top) @ np.ones(x.shape[1], x.dtype)
+    if x.size and total.min() < 1e-25:
+        top = x.max(1)
+        total = np.exp(x - top[:, None]).sum(1)
+    return own - top - np.log(total.astype(np.float64))
 
 
 def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -326,6 +377,20 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(as_codes(got["hash"]), got["c"].to_numpy(np.int64), total, distinct, tokens, types, as_codes(head["hash"])), int(ends)
 
 
+def _missing(codes: np.ndarray, own: np.ndarray, unknown: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each text, the different words that have no count here and how often they occur."""
+    of, code = tb.owner(own)[unknown], codes[unknown]
+    order = np.argsort(code, kind="stable")
+    order = order[np.argsort(of[order], kind="stable")]
+    of, code = of[order], code[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (code[1:] != code[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(of)))
+    edges = pa.array(np.searchsorted(of[first], np.arange(len(own))).astype(np.int32))
+    return pa.ListArray.from_arrays(edges, pa.array(code[first].view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(times.astype(np.int32)))
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[tb.Chunk], np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks with their words, together at most about limit words (or one chunk)."""
     kept: list = []
@@ -347,44 +412,52 @@ def _joined(kept: list) -> tuple[list[tb.Chunk], np.ndarray, np.ndarray, np.ndar
     return [k[0] for k in kept], np.concatenate([k[1] for k in kept]), np.concatenate([k[2] for k in kept]), own
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """The batches of each shard; rows come sorted by shard, which is the first column."""
+    parts = (batch.slice(a, b - a) for batch in batches for a, b in _runs(batch.column(0).to_numpy()))
+    for shard, own in itertools.groupby(parts, lambda part: part.column(0)[0].as_py()):
+        yield shard, own
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(values)) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(values)]) if len(values) else iter(())
+
+
 def trained(rows: DataFrame, v: Vocabulary, ends: int) -> Network:
-    """The averaged network after ROUNDS rounds over all training rows."""
+    """The averaged network after ROUNDS rounds over all training rows (id, __text)."""
     spark = rows.sparkSession
     net = Network.start(v, ends)
     shared_v = spark.sparkContext.broadcast(v)
     sizes = {k: a.size for k, a in net.p.items()}
+    n_shards = int(min(SHARDS, max(1, -(-v.total // SHARD_TOKENS))))
+    dealt = rows.select(F.xxhash64("id", "__text").alias("h"), "id", "__text").select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "h", "id", "__text")
+    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "h", "id").select("shard", "__text")
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net.p)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            own_net = Network({k: a.copy() for k, a in shared.value.items()})
-            done, key = 0, 0
-            for _, codes, shapes, own in _gathered(batches, SCORE_WORDS):
-                done += train_texts(own_net, codes, shapes, own, shared_v.value, RATE / (1 + r))
-                key = int(tb.mix(codes[: int(own[1])].sum(keepdims=True) + U(r))[0] >> U(1)) if len(own) > 1 else key
-            if done:
+            for shard, own_batches in _by_shard(batches):
+                own_net = Network({k: a.copy() for k, a in shared.value.items()})
+                done = sum(train_texts(own_net, codes, shapes, own, shared_v.value, RATE / (1 + r)) for _, codes, shapes, own in _gathered(own_batches, SCORE_WORDS))
                 flat = np.concatenate([own_net.p[k].ravel() for k in Network.NAMES]).astype(np.float64) * done
-                yield pa.RecordBatch.from_arrays([pa.array([key % 16], pa.int32()), pa.array([float(done)]), pa.array([flat.tobytes()], pa.binary())], names=["part", "n", "weights"])
+                parts = [x.tobytes() for x in np.array_split(flat, SLICES)]
+                columns = [pa.array(range(SLICES), pa.int32()), pa.array([shard] * SLICES, pa.int32()), pa.array([float(done)] * SLICES), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "n", "weights"])
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(np.frombuffer(pdf["weights"].iloc[0])))
+            pdf = pdf.sort_values("shard")  # so that sums are rounded alike
+            total = np.zeros(len(pdf["weights"].iloc[0]) // 8)
             for raw in pdf["weights"]:
                 total += np.frombuffer(raw)
-            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "weights": [total.tobytes()]})
-
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Sums the rows of a task, so that a group never has more than one row a task."""
-            for batch in batches:
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_pandas(add(batch.to_pandas()), schema=pa.schema([("part", pa.int32()), ("n", pa.float64()), ("weights", pa.binary())]))
-
-        schema = "part int, n double, weights binary"
-        copies = rows.mapInArrow(run, schema).repartition(64, "part").mapInArrow(fold, schema)
-        got = copies.groupBy("part").applyInPandas(add, schema).toPandas()
-        if len(got):
-            flat, at, weights = sum(np.frombuffer(x) for x in got["weights"]) / got["n"].sum(), 0, {}
+            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "weights": [(total / pdf["n"].sum()).astype(F32).tobytes()]})
+
+        copies = dealt.mapInArrow(run, "part int, shard int, n double, weights binary")
+        got = sorted(copies.groupBy("part").applyInPandas(add, "part int, n double, weights binary").collect(), key=lambda x: x["part"])
+        if got:
+            flat, at, weights = np.concatenate([np.frombuffer(x["weights"], F32) for x in got]), 0, {}
             for k in Network.NAMES:
-                weights[k] = flat[at : at + sizes[k]].reshape(net.p[k].shape).astype(F32)
+                weights[k] = flat[at : at + sizes[k]].reshape(net.p[k].shape).copy()
                 at += sizes[k]
             net = Network(weights)
     return net
@@ -394,10 +467,10 @@ def scores(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str
     """Base and model scores of every row, and the folder of the tables behind them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, label)
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("__text"))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("__text"))
     counts = scratch.keep(counted(rows.where("NOT held_out").select("__text")), "counts")
     v, ends = vocabulary(counts)
-    net = trained(rows.where("NOT held_out").select("__text"), v, ends)
+    net = trained(rows.where("NOT held_out").select("id", "__text"), v, ends)
     shared = spark.sparkContext.broadcast((v, net.p))
     end_log = math.log10(ends + 0.5)
 
@@ -414,46 +487,29 @@ def scores(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str
             logs += tb.per_text(np.where(rare, c_log - shape_log[np.where(rare, classes - HEAD_CLASSES, 0)], 0.0), offsets)
             base = tb.per_text(np.where(known == -2, end_log, c_log), offsets)
             sure = tb.per_text((known > 0) | ((known == -2) & (ends > 0)), offsets)
+            missing = _missing(codes, own, known[known != -2] == -1)
             at = 0
             for c in slim:
                 n = c.batch.num_rows
                 columns = [c.batch.column(k) for k in range(3)]
                 part = slice(at, at + n)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.diff(offsets)[part]), pa.array(sure[part]), pa.array(base[part]), pa.array(logs[part])],
-                    names=["id", "held_out", "row", "n_tokens", "sure", "base", "model"],
+                    [*columns, pa.array(np.diff(offsets)[part]), pa.array(sure[part]), pa.array(base[part]), pa.array(logs[part]), *(x.slice(at, n) for x in missing)],
+                    names=["id", "held_out", "row", "n_tokens", "sure", "base", "model", "hashes", "times"],
                 )
                 at += n
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, hash, tf) of words without a count here, and a row of hash 0 for each text that has one."""
-        v, _ = shared.value
-        for chunk in tb.chunks(batches, "__text"):
-            codes, _, own = word_codes(chunk)
-            missing = v.lookup(codes)[0] < 0
-            text_of = tb.owner(own)[missing]
-            # Order by text and hash: a stable sort by hash, then by text.
-            order = np.argsort(codes[missing], kind="stable")
-            order = order[np.argsort(text_of[order], kind="stable")]
-            of, code = text_of[order], codes[missing][order]
-            new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (code[1:] != code[:-1])
-            first = np.flatnonzero(new)
-            tf = np.diff(np.append(first, len(of)))
-            ids = chunk.batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of[first]]), pa.array(code[first].view(np.int64)), pa.array(tf.astype(np.int32))], names=["row", "hash", "tf"])
-
     row_kind = rows.schema["id"].dataType.simpleString()
-    measured = rows.select("id", "held_out", "row", "__text").mapInArrow(measure, f"id {row_kind}, held_out boolean, row bigint, n_tokens bigint, sure bigint, base double, model double")
-    unseen = rows.select("row", "__text").mapInArrow(rest, "row bigint, hash bigint, tf int")
+    # A row's number is written with what was measured, so a retry cannot change it.
+    numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), "__text")
+    measured = numbered.mapInArrow(measure, f"id {row_kind}, held_out boolean, row bigint, n_tokens bigint, sure bigint, base double, model double, hashes array<bigint>, times array<int>")
+    measured = scratch.keep(measured, "measured")
+    unseen = measured.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("w")).select("row", F.col("w.hashes").alias("hash"), F.col("w.times").alias("tf"))
     known = unseen.join(counts.where("shape >= 0").select("hash", "c"), "hash")
     gain = F.col("tf") * (F.log10(F.col("c") + 0.5) - F.lit(math.log10(0.5)))
-    # Rows that repeat wholly share a key: their sums are divided by their number.
     late = known.groupBy("row").agg(F.sum("tf").alias("late"), F.sum(gain).alias("gain"))
-    times = rows.groupBy("row").agg(F.count("*").alias("times")).where("times > 1")
-    late = late.join(times, "row", "left").select("row", (F.col("late") / F.coalesce("times", F.lit(1))).cast("bigint").alias("late"), (F.col("gain") / F.coalesce("times", F.lit(1))).alias("gain"))
     norm = math.log10(v.total + 0.5 * (v.distinct + 1))
-    joined = measured.join(late, "row", "left")
+    joined = measured.drop("hashes", "times").join(late, "row", "left")
     gained = F.coalesce("gain", F.lit(0.0))
     return joined.select(
         F.col("id").alias(key), "held_out", "n_tokens", (F.col("sure") + F.coalesce("late", F.lit(0))).cast("bigint").alias("n_known"), F.lit(v.total).cast("bigint").alias("train_tokens"),
