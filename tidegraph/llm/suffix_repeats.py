@@ -19,8 +19,8 @@ every string of L bytes holds one at the same place in all its occurrences
 5. The stretches of each text are united and cut out.
 
 Results. Null and empty texts have no bytes; texts of under L bytes keep all. Repeated rows count as
-copies of each other. An empty table gives an empty result. Strings are compared by 64-bit hashes in steps 1, 2 and
-4 and by their bytes in step 3.
+copies of each other. An empty table gives an empty result. Contexts are taken as equal by two independent 62-bit
+hashes, windows in step 4 by one beside that of their group; in step 3 strings are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def _sliding(a: np.ndarray, w: int, best, fill) -> np.ndarray:
 
 
 def anchors(chunk: tb.Chunk, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, position, k-gram hash, context hash, left and right context sizes) of all anchors of a chunk."""
+    """(text, position, k-gram hash, two hashes of the context, left and right context sizes) of all anchors of a chunk."""
     k = length // 2
     w = length - k + 1
     hashes = tb.SpanHash(chunk.data)
@@ -73,7 +73,8 @@ def anchors(chunk: tb.Chunk, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     left, right = np.minimum(at - start, length - k), np.minimum(end - at - k, length - k)
     gram = hashes.of(at, at + k)
     context = tb.mix(hashes.of(at - left, at + k + right) + tb.mix((left * 4096 + right).astype(U)))
-    return text, at - start, gram, context, left, right
+    check = tb.SpanHash(chunk.data, salt=1).of(at - left, at + k + right)
+    return text, at - start, gram, context, check, left, right
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -129,27 +130,27 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tb.chunks(batches, "__text"):
-            of, at, gram, context, left, right = anchors(chunk, length)
+            of, at, gram, context, check, left, right = anchors(chunk, length)
             yield pa.RecordBatch.from_arrays(
-                [chunk.batch.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
-                names=["row", "at", "gram", "context", "l", "r"],
+                [chunk.batch.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(check.view(np.int64)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
+                names=["row", "at", "gram", "context", "check", "l", "r"],
             )
 
     # Under a tenth of the text's size: an anchor in about k / 2 bytes.
-    found = scratch.keep(rows.select("row", "__text").where(F.octet_length("__text") >= length).mapInArrow(find, "row bigint, at int, gram bigint, context bigint, l smallint, r smallint"), "anchors")
-    groups = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
+    found = scratch.keep(tb.through_python(rows.select("row", "__text").where(F.octet_length("__text") >= length), find, "row bigint, at int, gram bigint, context bigint, check bigint, l smallint, r smallint"), "anchors")
+    groups = found.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("context", "check")).alias("least"), F.max(F.struct("context", "check")).alias("most")).where("n > 1")
     groups = groups.select("gram", (F.col("least") != F.col("most")).alias("differs"))
     shared = scratch.keep(found.join(groups, "gram"), "shared")
-    entries = shared.where("differs").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "l", "r")).alias("e"))
-    entries = scratch.keep(entries.select("gram", "context", "n", "e.*"), "entries")
+    entries = shared.where("differs").groupBy("gram", "context", "check").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "l", "r")).alias("e"))
+    entries = scratch.keep(entries.select("gram", "context", "check", "n", "e.*"), "entries")
     # All of a context that occurs twice repeats; others are compared within their group.
     sizes = entries.groupBy("gram").agg((F.count("*") > hot_group).alias("hot"))
-    asked = entries.join(sizes, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "context", "n", "at", "l", "r", "hot")).alias("asked"))
+    asked = entries.join(sizes, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "context", "check", "n", "at", "l", "r", "hot")).alias("asked"))
     texts = rows.select("row", "__text").join(asked, "row")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "context", "n", "lefts", "rights", "windows"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        names = ["gram", "context", "check", "n", "lefts", "rights", "windows"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 out: list[tuple] = []
@@ -159,63 +160,63 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
                     for x in items:
                         a, b = x["at"] - x["l"], x["at"] + k + x["r"]
                         if not x["hot"]:
-                            out.append((x["gram"], x["context"], x["n"], raw[a : x["at"]][::-1], raw[x["at"] + k : b], None))
+                            out.append((x["gram"], x["context"], x["check"], x["n"], raw[a : x["at"]][::-1], raw[x["at"] + k : b], None))
                             continue
                         if hashes is None:
                             hashes = tb.SpanHash(np.frombuffer(raw, np.uint8))
                         starts = np.arange(a, b - length + 1)
                         # Its place relative to the k-gram is part of a window's hash.
                         w = tb.mix(hashes.of(starts, starts + length) + (x["at"] - starts).astype(U))
-                        out.append((x["gram"], x["context"], x["n"], None, None, np.stack([x["at"] - starts, w.view(np.int64)], 1).ravel().tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], types[c]) for c in range(6)], names=names)
+                        out.append((x["gram"], x["context"], x["check"], x["n"], None, None, np.stack([x["at"] - starts, w.view(np.int64)], 1).ravel().tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], types[c]) for c in range(7)], names=names)
 
-    ready = scratch.keep(texts.mapInArrow(contexts, "gram bigint, context bigint, n bigint, lefts binary, rights binary, windows array<bigint>"), "contexts")
+    ready = scratch.keep(tb.through_python(texts, contexts, "gram bigint, context bigint, check bigint, n bigint, lefts binary, rights binary, windows array<bigint>"), "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by group; a group may span batches."""
         now, entry = None, []
 
-        def flush() -> list[tuple[int, int, int, int]]:
-            best = group_stretches([e[2] for e in entry], [e[3] for e in entry], side)
+        def flush() -> list[tuple[int, ...]]:
+            best = group_stretches([e[3] for e in entry], [e[4] for e in entry], side)
             out = []
-            for (context, n, left, right), (l, r) in zip(entry, best):
+            for (context, check, n, left, right), (l, r) in zip(entry, best):
                 if n > 1 and len(left) + len(right) >= side:
                     l, r = len(left), len(right)
                 if l >= 0:
-                    out.append((now, context, l, r))
+                    out.append((now, context, check, l, r))
             return out
 
         def rows_of(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], names=["gram", "context", "left", "right"])
+            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(5)], names=["gram", "context", "check", "left", "right"])
 
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for gram, context, n, left, right in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            out: list[tuple[int, ...]] = []
+            for gram, context, check, n, left, right in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 if gram != now:
                     if entry:
                         out += flush()
                     now, entry = gram, []
-                entry.append((context, n, left, right))
+                entry.append((context, check, n, left, right))
             yield rows_of(out)
         if entry:
             yield rows_of(flush())
 
-    cold = ready.where("windows IS NULL").select("gram", "context", "n", "lefts", "rights").repartition("gram").sortWithinPartitions("gram")
-    verdicts = cold.mapInArrow(compare, "gram bigint, context bigint, left bigint, right bigint")
+    cold = ready.where("windows IS NULL").select("gram", "context", "check", "n", "lefts", "rights").repartition("gram").sortWithinPartitions("gram")
+    verdicts = tb.through_python(cold, compare, "gram bigint, context bigint, check bigint, left bigint, right bigint")
     hot = None
     if not sizes.where("hot").isEmpty():
         at = F.sequence(F.lit(1), F.size("windows") - 1, F.lit(2))
         pairs = F.transform(at, lambda i: F.struct(F.element_at("windows", i).alias("left"), F.element_at("windows", i + 1).alias("hash")))
-        hot = ready.where(F.size("windows") > 0).select("gram", "context", "n", F.explode(pairs).alias("w"))
+        hot = ready.where(F.size("windows") > 0).select("gram", "context", "check", "n", F.explode(pairs).alias("w"))
     if hot is not None:
-        windows = hot.select("gram", "context", "n", "w.left", "w.hash")
+        windows = hot.select("gram", "context", "check", "n", "w.left", "w.hash")
         twice = windows.groupBy("gram", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "hash")
-        seen = windows.join(twice, ["gram", "hash"]).groupBy("gram", "context").agg(F.max("left").alias("left"), (side - F.min("left")).alias("right"))
+        seen = windows.join(twice, ["gram", "hash"]).groupBy("gram", "context", "check").agg(F.max("left").alias("left"), (side - F.min("left")).alias("right"))
         verdicts = verdicts.unionByName(seen)
     verdicts = scratch.keep(verdicts, "verdicts")
 
     plain = shared.where("NOT differs").where(F.col("l") + F.col("r") >= side).select("row", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + k + F.col("r")).alias("end"))
-    judged = shared.where("differs").join(verdicts, ["gram", "context"]).select("row", (F.col("at") - F.col("left")).cast("int").alias("start"), (F.col("at") + k + F.col("right")).cast("int").alias("end"))
+    judged = shared.where("differs").join(verdicts, ["gram", "context", "check"]).select("row", (F.col("at") - F.col("left")).cast("int").alias("start"), (F.col("at") + k + F.col("right")).cast("int").alias("end"))
     spans = plain.unionByName(judged).distinct().groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = rows.join(spans, "row", "left").select("id", "__text", "starts", "ends")
     kind = joined.schema["id"].dataType.simpleString()
@@ -248,5 +249,5 @@ def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if cleaned else "")), scratch
+    return tb.through_python(joined, cut, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if cleaned else "")), scratch
 
