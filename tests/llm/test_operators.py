@@ -520,6 +520,16 @@ def test_repeats(spark, hot):
     assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute_removed(rows, 60)
 
 
+def test_repeats_of_documents(spark):
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    got = by_id(LLM.queries["op6_suffix_dedup"](spark, SF))
+    brute = brute_removed(rows, 400)
+    assert sum(b[1] for b in brute.values()) > 10_000
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute
+
+
 def test_prefix_intervals():
     lcp = [1, 3, 3, 0, 2]
     expected = {(i, j + 1, min(lcp[i : j + 1])) for i in range(5) for j in range(i, 5) if (i == 0 or lcp[i - 1] < min(lcp[i : j + 1])) and (j == 4 or lcp[j + 1] < min(lcp[i : j + 1]))}

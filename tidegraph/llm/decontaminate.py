@@ -348,7 +348,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text: str =
                     columns += [pa.array([ids[f[1]] for f in found])] + [pa.array([f[k] for f in found], pa.int64()) for k in range(2, 6)]
                     yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + ["item_id", "n_windows", "edits", "start", "end"])
 
-        part = rows.mapInArrow(run, schema)
+        part = tb.through_python(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -365,5 +365,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
                 stay[[f[0] for f in search(_texts(chunk), shared.value)]] = False
                 yield chunk.batch.filter(pa.array(stay))
 
-        out = out.mapInArrow(run, out.schema)
+        out = tb.through_python(out, run, out.schema)
     return out

@@ -347,7 +347,7 @@ def counted(rows: DataFrame) -> DataFrame:
                 names=["hash", "shape", "c"],
             )
 
-    return rows.mapInArrow(run, "hash bigint, shape int, c bigint").groupBy("hash").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
+    return tb.through_python(rows, run, "hash bigint, shape int, c bigint").groupBy("hash").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -452,7 +452,7 @@ def trained(rows: DataFrame, v: Vocabulary, ends: int) -> Network:
                 total += np.frombuffer(raw)
             return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "weights": [(total / pdf["n"].sum()).astype(F32).tobytes()]})
 
-        copies = dealt.mapInArrow(run, "part int, shard int, n double, weights binary")
+        copies = tb.through_python(dealt, run, "part int, shard int, n double, weights binary")
         got = sorted(copies.groupBy("part").applyInPandas(add, "part int, n double, weights binary").collect(), key=lambda x: x["part"])
         if got:
             flat, at, weights = np.concatenate([np.frombuffer(x["weights"], F32) for x in got]), 0, {}
@@ -502,7 +502,7 @@ def scores(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str
     row_kind = rows.schema["id"].dataType.simpleString()
     # A row's number is written with what was measured, so a retry cannot change it.
     numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), "__text")
-    measured = numbered.mapInArrow(measure, f"id {row_kind}, held_out boolean, row bigint, n_tokens bigint, sure bigint, base double, model double, hashes array<bigint>, times array<int>")
+    measured = tb.through_python(numbered, measure, f"id {row_kind}, held_out boolean, row bigint, n_tokens bigint, sure bigint, base double, model double, hashes array<bigint>, times array<int>")
     measured = scratch.keep(measured, "measured")
     unseen = measured.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("w")).select("row", F.col("w.hashes").alias("hash"), F.col("w.times").alias("tf"))
     known = unseen.join(counts.where("shape >= 0").select("hash", "c"), "hash")

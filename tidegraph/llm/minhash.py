@@ -12,8 +12,9 @@ the least similarity that counts (0.8), 48 bands of 5 rows miss a pair with a ch
 Pairs without the square of a group:
 1. Texts of equal word sequences (by a 128-bit digest of the whole sequence) are one class from the start; only
    their least id goes on.
-2. In each bucket every member is compared with the bucket's least id, the hub, exactly, on the full sets; the
-   links found give components. Two candidates share a bucket, so both are in the star of its hub.
+2. In each bucket every member is compared with the bucket's hub, exactly, on the full sets; the
+   links found give components. Two candidates share a bucket, so both are in the star of its hub. The hub is the member
+   that shares its buckets with most others: a text in the middle of its copies, the same in most of their buckets.
 3. A member is the hub's set less its removed shingles plus its added ones, and all that follows works on these
    differences. Members of one component need no comparison, as only components count, so of a pair one member is not
    linked with the hub; from that follows how many removed and added shingles the two must have in common at least (see _entries). A
@@ -147,7 +148,7 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
     """(id, n_shingles, whole, bits, keys) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tb.chunks(batches, "__text"):
+        for chunk in tb.chunks(batches, "__text", 1 << 20):
             sets, offsets, whole = shingle_sets(chunk, k)
             sketch = sketches(sets, offsets)
             yield pa.RecordBatch.from_arrays(
@@ -155,19 +156,19 @@ def _sketched(rows: DataFrame, k: int) -> DataFrame:
                 names=["id", "n", "whole", "bits", "keys"],
             )
 
-    return rows.mapInArrow(run, "id bigint, n bigint, whole binary, bits array<bigint>, keys array<bigint>")
+    return tb.through_python(rows, run, "id bigint, n bigint, whole binary, bits array<bigint>, keys array<bigint>")
 
 
 def _full_sets(rows: DataFrame, k: int) -> DataFrame:
     """(id, shingles) with the sorted codes of every text's full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tb.chunks(batches, "__text"):
+        for chunk in tb.chunks(batches, "__text", 1 << 20):
             sets, offsets, _ = shingle_sets(chunk, k)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([chunk.batch.column(0), lists], names=["id", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return tb.through_python(rows, run, "id bigint, shingles array<bigint>")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -245,13 +246,16 @@ def _entries(members: DataFrame, percent: int, scratch: Scratch, name: str) -> D
     shared shingles within the hub, so with percent of their own each.
     All members are such a b, and with two members outside the hub's component both are; near holds the prefix that any
     partner asks for: all elements of a member outside meet the short prefixes of those inside.
+    Without a common added one, t (na + nb) <= H - a- also bounds nb by what `room` says of a, so cells of
+    removed shingles, which many members of a large group share, only keep members with a partner of a size that fits.
     """
     t = F.lit(100 + percent)
     more = F.col("added") - F.col("removed")
     inside = (F.col("hub") - F.col("removed")) * 100 >= F.col("n") * percent
     taken = F.when(inside & ((more < 0) | F.col("far")), F.col("minus")).otherwise(F.slice("minus", 1, 0))
     tagged = lambda x, kind: F.transform(x, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
-    each = members.select("u", "v", "component", "far", "added", "removed", F.explode(F.concat(tagged(F.col("plus"), 0), tagged(taken, 1))).alias("e")).select("*", "e.*").drop("e")
+    room = F.floor((F.col("hub") - F.col("removed")) * t / percent) - F.col("n")
+    each = members.select("u", "v", "component", "far", "added", "removed", "n", room.alias("room"), F.explode(F.concat(tagged(F.col("plus"), 0), tagged(taken, 1))).alias("e")).select("*", "e.*").drop("e")
     cells = each.groupBy("u", "kind", "s").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("u", "kind", "s", "c")
     shared = each.join(cells, ["u", "kind", "s"])
     # Elements in no such cell come first in the common order, then rare ones; so the prefix ends early.
@@ -260,16 +264,17 @@ def _entries(members: DataFrame, percent: int, scratch: Scratch, name: str) -> D
     size = F.when(F.col("kind") == 0, F.col("added")).otherwise(F.col("removed"))
     need = F.when(F.col("kind") == 0, F.greatest(F.floor(more * percent / t) + 1, F.lit(1))).otherwise(F.floor((F.col("removed") * 100 + F.col("added") * percent) / t) + 1)
     short = (size - F.col("many") + F.col("rank") <= size - need + 1) & ((F.col("kind") == 0) | (more < 0))
-    marked = shared.withColumn("rank", rank).withColumn("many", many).withColumn("short", short).where("short OR far").select("u", "kind", "s", "v", "component", "far", "short")
+    marked = shared.withColumn("rank", rank).withColumn("many", many).withColumn("short", short).where("short OR far").select("u", "kind", "s", "v", "component", "far", "short", "n", "room")
     marked = scratch.keep(marked, f"{name}-marked")
     # Short prefixes of two members outside meet, and those inside meet all elements of members outside: what is left of the cells.
     meeting = (
         marked.groupBy("u", "kind", "s")
-        .agg(F.sum((F.col("short") & ~F.col("far")).cast("int")).alias("inside"), F.sum((F.col("short") & F.col("far")).cast("int")).alias("outside"), F.max("far").alias("any"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.sum((F.col("short") & ~F.col("far")).cast("int")).alias("inside"), F.sum((F.col("short") & F.col("far")).cast("int")).alias("outside"), F.max("far").alias("any"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max(F.when(F.col("far"), F.col("room"))).alias("most"))
         .where("any AND lo <> hi AND (inside > 0 OR outside > 1)")
-        .select("u", "kind", "s", (F.col("inside") > 0).alias("inside"))
+        .select("u", "kind", "s", (F.col("inside") > 0).alias("inside"), "least", "most")
     )
-    out = scratch.keep(marked.join(meeting, ["u", "kind", "s"]).where("short OR inside").select("u", "kind", "s", "v", "short"), name)
+    fits = (F.col("kind") == 0) | F.when(F.col("far"), F.col("room") >= F.col("least")).otherwise(F.col("n") <= F.col("most"))
+    out = scratch.keep(marked.join(meeting, ["u", "kind", "s"]).where((F.col("short") | F.col("inside")) & fits).select("u", "kind", "s", "v", "short"), name)
     scratch.drop(f"{name}-marked")
     return out
 
@@ -298,25 +303,25 @@ def _joined_families(members: DataFrame, links: DataFrame, found: DataFrame, per
 
     slim = ["u", "v", "component", "far", "hub", "n", "added", "removed", "map", "bits"]
     looks = lambda x, at: at.select("u", F.col("v").alias(x), F.struct("component", "far", "hub", "n", "added", "removed", "map", "bits").alias(x + "_"))
-    fits = (F.col("a_.component") != F.col("b_.component")) & _possible("a_", "b_", percent) & _may_share("a_", "b_", percent)
+    # Cheap tests first: what both keep of the hub, and the added ones if some are common, must do for a link.
+    x = lambda f, best: best(F.col(f"a_.{f}"), F.col(f"b_.{f}"))
+    enough = _close(F.col("a_.hub") - x("removed", F.greatest) + F.when(F.col("kind") == 0, x("added", F.least)).otherwise(0), "a_", "b_", percent)
+    fits = (F.col("a_.component") != F.col("b_.component")) & enough & _possible("a_", "b_", percent) & _may_share("a_", "b_", percent)
+    at = placed(found, "placed-0")
+    entries = _entries(at, percent, scratch, "entries")
+    at = at.select(*slim)
     for r in range(STAR_ROUNDS):
-        at = placed(found, f"placed-{r}")
-        entries = _entries(at, percent, scratch, f"entries-{r}")
-        at = at.select(*slim)
         heads = entries.groupBy("u", "kind", "s").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)), F.col("v").alias("v")))["v"].alias("a"))
-        pairs = entries.join(heads, ["u", "kind", "s"]).where("v <> a").select("u", F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
+        pairs = entries.join(heads, ["u", "kind", "s"]).where("v <> a").groupBy("u", F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).agg(F.min("kind").alias("kind"))
         pairs = pairs.join(looks("a", at), ["u", "a"]).join(looks("b", at), ["u", "b"]).where(fits).select("u", "a", "b")
         new = scratch.keep(verified(pairs), f"star-{r}")
-        last = r == STAR_ROUNDS - 1 or new.isEmpty()
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = scratch.keep(components(links, scratch, f"cc-{r}"), f"components-{r}")
-        if last:
+        if new.isEmpty():
             break
-        scratch.drop(f"entries-{r}")
+        links = links.unionByName(new)
+        found = scratch.keep(components(links, scratch, f"cc-{r}"), f"components-{r}")
+        at = placed(found, f"placed-{r + 1}").select(*slim)
         scratch.drop(f"placed-{r}")
     # Short prefixes meet each other, and those of members inside the hub's component meet all elements of those outside.
-    at = placed(found, "placed").select(*slim) if not new.isEmpty() else at
     side = entries.join(at, ["u", "v"]).select("u", "kind", "s", "short", F.struct("v", *slim[2:]).alias("m"))
     a, b = side.select("u", "kind", "s", F.col("short").alias("a_short"), F.col("m").alias("a_")), side.where("short").select("u", "kind", "s", F.col("m").alias("b_"))
     meet = F.col("a_.far") & fits & F.when(F.col("b_.far"), F.col("a_short") & (F.col("a_.v") < F.col("b_.v"))).otherwise(True)
@@ -344,9 +349,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     reps = sketched.join(classes.select("whole", F.col("rep").alias("id")), ["whole", "id"]).dropDuplicates(["id", "whole"])
     reps = scratch.keep(reps.select("id", "n", "bits", "keys"), "reps")
 
-    entries = reps.select(F.explode("keys").alias("key"), "id")
-    buckets = entries.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    stars = scratch.keep(entries.join(buckets, "key").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct(), "stars")
+    entries = lambda rows, *more: rows.select(F.explode("keys").alias("key"), "id", *more)
+    sizes = entries(reps).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    degrees = scratch.keep(entries(reps).join(sizes, "key").groupBy("id").agg(F.sum("c").alias("degree")), "degrees")
+    shared = entries(reps.join(degrees, "id"), "degree")
+    hubs = shared.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", (-F.col("hub.least")).alias("u"))
+    stars = scratch.keep(shared.join(hubs, "key").where("id <> u").select("u", F.col("id").alias("v")).distinct(), "stars")
     star = _compared(stars, rows, k, scratch, "star")
     links = scratch.keep(star.where(_is_link(percent)).select("u", "v"), "links")
     found = scratch.keep(components(links, scratch, "cc"), "components")

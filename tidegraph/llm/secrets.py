@@ -169,4 +169,4 @@ def find_secrets(docs: DataFrame, *, text: str = "text", keep: list[str], redact
                 columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return tb.through_python(rows, run, schema)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.llm import textbatch as tb
+
 SPACE = "▁"
 #: Units remembered by one worker; the memory is emptied beyond that.
 REMEMBERED = 200_000
@@ -340,6 +342,10 @@ class _Digest:
         self.memory[unit] = found
         return found
 
+    def forget(self) -> None:
+        self.memory, self.old = {}, {}
+        self.codec.compatible.clear()
+
     def text(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids as text, sha256 of the decoded text."""
         of, get = self.of, self.memory.get
@@ -353,7 +359,7 @@ class _Digest:
 
 @lru_cache(maxsize=1)
 def _digest(model: bytes) -> _Digest:
-    """One for each Python worker: tasks that follow find what earlier ones remembered."""
+    """One for each Python worker: tasks that follow find the automaton; what a task remembers goes with it."""
     return _Digest(PrefixTableCodec(model))
 
 
@@ -373,18 +379,22 @@ def encode_decode(docs: DataFrame, model: bytes, *, text: str = "text", keep: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _digest(model)
         codec = digest.codec
-        for batch in batches:
-            texts = batch.column(len(fields))
-            for first in range(0, batch.num_rows, 512):
-                part = texts.slice(first, 512).to_pylist()
-                got = [digest.text(t or "") for t in part]
-                columns = [batch.column(k).slice(first, 512) for k in range(len(fields))]
-                columns += [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
-                names = [f.name for f in fields] + ["n_tokens", "ids_sha256", "decoded_sha256"]
-                if ids:
-                    each = [codec.encode(t or "") for t in part]
-                    columns += [pa.array(each, pa.list_(pa.int32())), pa.array([codec.decode(e) for e in each], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                texts = batch.column(len(fields))
+                for first in range(0, batch.num_rows, 512):
+                    part = texts.slice(first, 512).to_pylist()
+                    got = [digest.text(t or "") for t in part]
+                    columns = [batch.column(k).slice(first, 512) for k in range(len(fields))]
+                    columns += [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+                    names = [f.name for f in fields] + ["n_tokens", "ids_sha256", "decoded_sha256"]
+                    if ids:
+                        each = [codec.encode(t or "") for t in part]
+                        columns += [pa.array(each, pa.list_(pa.int32())), pa.array([codec.decode(e) for e in each], pa.string())]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            # Workers live on for the stages that follow, which need their memory.
+            digest.forget()
+
+    return tb.through_python(rows, run, schema)

@@ -142,7 +142,7 @@ def classify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[st
             columns = [chunk.batch.column(k) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[f.name for f in fields] + ["score", "predicted"])
 
-    return rows.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double, predicted int")
+    return tb.through_python(rows, run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double, predicted int")
 
 
 def remainder(key: str, by: int):

@@ -7,15 +7,18 @@ on the concatenated UTF-8 bytes of a chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Arrow batches that go to Python hold about so many bytes, on both sides of the pipe.
+BATCH_BYTES = 4 << 20
 U = np.uint64
 #: White space of the word pattern [^\x20\x09-\x0D]+
 SPACE = np.zeros(256, bool)
@@ -29,6 +32,13 @@ _GOLDEN = 0x9E3779B97F4A7C15
 _P = (1 << 31) - 1
 
 
+def through_python(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow in batches of bounded bytes: by default a batch is ten thousand rows or 64 MB, however many tasks share an
+    executor. This is a setting of the session; no result depends on it."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U(32))

@@ -183,7 +183,7 @@ def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             columns += [pa.array(s[c].astype(np.int64)) for c in COUNTS] + [pa.array(failed), pa.array(pattern)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [*COUNTS, "base_failed", "pattern"])
 
-    return rows.mapInArrow(run, schema)
+    return tb.through_python(rows, run, schema)
 
 
 def quality(docs: DataFrame, *, text: str = "text", keep: list[str], threshold: float = THRESHOLD, twice: bool = False) -> DataFrame:
