@@ -150,3 +150,29 @@ def test_parsed_revisions_against_loop(spark):
             before = (t, k, eligible)
     df = spark.createDataFrame(rows, "page bigint, ts bigint, revision bigint, eligible boolean")
     assert {(r.page, r.revision) for r in tp.parsed_revisions(df, 1800, 3).collect()} == expected
+
+
+def test_closure_of_long_chains_and_circles(spark):
+    rd = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (201, 202), (202, 200), (199, 200)], "source bigint, target bigint")
+    got = {r.source: r.target for r in joins.closure(rd).collect()}
+    assert got == {**{k: 100 for k in range(100)}, 199: 199, 200: 200, 201: 201, 202: 202}
+
+
+def test_components_of_all_pairs(spark):
+    from tidegraph.plans import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    near = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
+        a, b = r.l_partkey, r.l_suppkey + 1000000
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    least = {}
+    for start in sorted(near):
+        stack = [start] if start not in least else []
+        while stack:
+            x = stack.pop()
+            if x not in least:
+                least[x] = start
+                stack += near[x]
+    assert {r.node: r.component for r in REGISTRY.queries["connected_components"](spark, sf).collect()} == least

@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def closure(redirects: DataFrame, hops: int = 64) -> DataFrame:
+def closure(redirects: DataFrame) -> DataFrame:
     """(source, target) with the last target of each chain of redirects.
 
-    Pointer doubling: each round joins the table with itself, so chains of 2**k hops take k rounds. A source in a
-    cycle keeps its own id. source must be unique.
+    Pointer doubling: each round joins the table with itself, so chains of 2**k hops take k rounds; rounds end when none
+    finds a last target that was open before, and what is open then runs into a circle. Such a source keeps
+    its own id. source must be unique. Each round is cut by checkpoint() where the session has a folder for it.
     """
-    now, done = redirects.where("source <> target").select("source", "target"), 1
-    while done < hops:
+    folder = redirects.sparkSession.sparkContext.getCheckpointDir()
+    cut = (lambda df: df.checkpoint()) if folder else (lambda df: df.cache())
+    now, open_ = cut(redirects.where("source <> target").select("source", "target")), None
+    sources = now.select(F.col("source").alias("target"))
+    while True:
+        pending = now.join(sources, "target", "left_semi")
+        left = pending.count()
+        if left in (0, open_):
+            break
+        open_ = left
         step = now.select(F.col("source").alias("target"), F.col("target").alias("further"))
-        now = now.join(step, "target", "left").select("source", F.coalesce("further", "target").alias("target"))
-        done *= 2
-    # What still points to a source after all rounds runs in a circle.
-    circle = now.join(redirects.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source").distinct()
-    return now.join(circle.withColumn("circle", F.lit(True)), "source", "left").select("source", F.when(F.col("circle"), F.col("source")).otherwise(F.col("target")).alias("target"))
+        now = cut(now.join(step, "target", "left").select("source", F.coalesce("further", "target").alias("target")))
+    circle = pending.select("source").withColumn("circle", F.lit(True))
+    return now.join(circle, "source", "left").select("source", F.when(F.col("circle"), F.col("source")).otherwise(F.col("target")).alias("target"))
 
 
 def resolve(df: DataFrame, closed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -88,10 +95,21 @@ def follow_moves(start: DataFrame, moves: DataFrame, hops: int = 1000) -> DataFr
 
 
 def both_ends(edges: DataFrame, mentions: DataFrame, passage: str = "passage") -> DataFrame:
-    """Edges of which a passage mentions both ends (J8): two joins on entities, no product of mentions."""
+    """Edges of which a passage mentions both ends.
+
+    Each edge meets the passages of the end that fewer mention first, so an end that very many passages mention
+    costs no more than the other end does; no product of mentions.
+    """
     m = mentions.select(passage, "entity").distinct()
-    heads = edges.join(m.withColumnRenamed("entity", "head"), "head")
-    return heads.join(m.withColumnRenamed("entity", "tail"), ["tail", passage])
+    n = m.groupBy("entity").agg(F.count("*").alias("n"))
+    counted = edges
+    for end in ("head", "tail"):
+        counted = counted.join(n.select(F.col("entity").alias(end), F.col("n").alias(f"__{end}")), end)
+    out = None
+    for first, second, rarer in (("head", "tail", F.col("__head") <= F.col("__tail")), ("tail", "head", F.col("__head") > F.col("__tail"))):
+        part = counted.where(rarer).join(m.withColumnRenamed("entity", first), first).join(m.withColumnRenamed("entity", second), [second, passage]).select(passage, *edges.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def emerging_to_old(edges: DataFrame, mentions: DataFrame, start: int, end: int, offset: int, passage: str = "passage") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,25 +68,35 @@ def uniqueness(df: DataFrame, key: Sequence[str], order: str, phi: float, vector
     return df.select(*key).distinct().join(shares, list(key), "left").select(*key, F.coalesce(F.col("unlike") / F.col("pairs"), F.lit(1.0)).alias("uniqueness"))
 
 
-def top_similar(queries: DataFrame, candidates: DataFrame, k: int, query_id: str, candidate_id: str, vector: str = "embedding", most: int = 100_000) -> DataFrame:
-    """The k candidates of largest dot product of each query (O6), ties to the lower id.
+def top_similar(queries: DataFrame, candidates: DataFrame, k: int, query_id: str, candidate_id: str, vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """The k candidates of largest dot product, to six digits, of each query (O6), ties to the lower id.
 
-    The candidate list (relation definitions) is counted: up to most rows it is broadcast, beyond that
-    it goes in blocks of most rows whose top k are merged.
+    The query set goes to all tasks in blocks of at most `most` vectors, one pass over the candidates each. A task keeps the k best of each of its
+    batches (and what ties with the last of them), so only these are shuffled and merged.
     """
-    n = candidates.count()
-    blocks = max(1, -(-n // most))
+    spark = queries.sparkSession
+    asked = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    blocks = max(1, -(-asked.count() // most))
+    given = candidates.select(F.col(candidate_id).alias("candidate"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    kinds = f"query {asked.schema['query'].dataType.simpleString()}, candidate {given.schema['candidate'].dataType.simpleString()}, score double"
     out = None
     for b in range(blocks):
-        part = candidates.where(F.pmod(F.xxhash64(candidate_id), F.lit(blocks)) == b) if blocks > 1 else candidates
-        small = F.broadcast(part.select(F.col(candidate_id).alias("candidate"), F.col(vector).alias("__c")))
-        scored = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q")).join(small).select("query", F.struct(F.round(-dot(F.col("__q"), F.col("__c")), 6).alias("s"), "candidate").alias("x"))
-        out = scored if out is None else out.unionByName(scored)
-    best = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("x")) if blocks == 1 and n <= 1000 else None
-    if best is not None:
-        return best.select("query", F.posexplode("x").alias("rank", "x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("x.candidate").alias("candidate"), (-F.col("x.s")).alias("score"))
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("x"))).where(F.col("rank") <= k)
-    return ranked.select("query", "rank", F.col("x.candidate").alias("candidate"), (-F.col("x.s")).alias("score"))
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["v"] for r in rows], float)))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for pdf in batches:
+                if len(ids) and len(pdf):
+                    s = np.round(np.stack(pdf["v"]).astype(float) @ q.T, 6)
+                    least = np.partition(s, max(len(s) - k, 0), axis=0)[max(len(s) - k, 0)]
+                    row, column = np.nonzero(s >= least)
+                    yield pd.DataFrame({"query": [ids[c] for c in column], "candidate": pdf["candidate"].to_numpy()[row], "score": s[row, column]})
+
+        part = given.mapInPandas(best, kinds)
+        out = part if out is None else out.unionByName(part)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "candidate"))).where(F.col("rank") <= k)
+    return ranked.select("query", "rank", "candidate", "score")
 
 
 def assigned_scores(gold: DataFrame, predicted: DataFrame, key: str, vector: str = "embedding", epsilon: float = 1e-12) -> DataFrame:
@@ -186,3 +196,56 @@ def approved(metrics: DataFrame, verdicts: DataFrame, key: Sequence[str], assess
     """Triple-level rows that the assessor approved, and all instance-level rows."""
     good = verdicts.where((F.col("assessor") == assessor) & F.col("verdict")).select(*key)
     return metrics.where("level = 'triple'").join(good, list(key), "left_semi").unionByName(metrics.where("level <> 'triple'"))
+
+
+def in_snapshot(predictions: DataFrame, statements: DataFrame, key: Sequence[str], column: str = "existing") -> DataFrame:
+    """Predictions with a flag that tells whether their statement is in the graph's snapshot of their time.
+
+    key names the snapshot and the statement. A null in a key is in no snapshot; repeated statements do not multiply predictions.
+    """
+    known = statements.select(*key).distinct().withColumn(column, F.lit(True))
+    return predictions.join(known, list(key), "left").withColumn(column, F.coalesce(column, F.lit(False)))
+
+
+def with_metadata(metrics: DataFrame, instances: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Metric rows with what is known of their instance (J18); rows of unknown instances go. Instances are unique by key."""
+    return metrics.join(instances.select(key, *columns), key)
+
+
+def with_specification(metrics: DataFrame, specification: DataFrame, labels: DataFrame, key: Sequence[str], label_key: str) -> DataFrame:
+    """Metric rows that a specification by key asks for, with its columns, and with the label of label_key, null without one."""
+    return metrics.join(specification, list(key)).join(labels, label_key, "left")
+
+
+def known_relations(triples: DataFrame, relations: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Triples whose relation is known to their snapshot (F12); key names snapshot and relation."""
+    return triples.join(relations.select(*key).distinct(), list(key), "left_semi")
+
+
+def entity_tails(triples: DataFrame, tail: str = "tail") -> DataFrame:
+    """Triples whose tail is an entity id (F4); a null or literal tail goes."""
+    return triples.where(F.col(tail).rlike(r"^Q\d+$"))
+
+
+def of_models(rows: DataFrame, models: Sequence[str], model: str = "model", gold: str = "gold") -> DataFrame:
+    """Rows of the given models, those of the reference always."""
+    return rows.where(F.col(model).isin(gold, *models))
+
+
+def colliding(rows: DataFrame, code: str, content: Sequence[str]) -> DataFrame:
+    """Codes that stand for several contents, and how many (X2): collisions are reported, not retried."""
+    return rows.select(code, *content).distinct().groupBy(code).agg(F.count("*").alias("contents")).where("contents > 1")
+
+
+def first_rows(rows: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """The first rows in that order, at most so many (O14); the order should end in a unique column."""
+    return rows.orderBy(*order).limit(most)
+
+
+def evaluate(rows: DataFrame, metrics: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """All rows of several metrics, in the order of the list, with the name of each and its place (M12). Metrics return equal columns."""
+    out = None
+    for place, (name, metric) in enumerate(metrics):
+        part = metric(rows).select(F.lit(place).alias("place"), F.lit(name).alias("metric"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -4,4 +4,4 @@ from tidegraph.registry import Registry
 
 REGISTRY = Registry()
 
-from tidegraph.plans import extra, history, passages, scores  # noqa: E402, F401
+from tidegraph.plans import evaluation, extra, history, passages, scores  # noqa: E402, F401

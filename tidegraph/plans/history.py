@@ -69,12 +69,12 @@ def delta_consecutive_weeks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _flags(T8, T15)
-    + f", q AS (SELECT user_id AS head, event_type AS relation, CASE WHEN value > 50 THEN 'P582' ELSE 'P580' END AS pid, {SECONDS.format('ts')} AS q_ts FROM events WHERE event_id % 7 = 0), "
+    + f", q AS (SELECT user_id AS head, event_type AS relation, CASE WHEN value > 50 THEN 'P582' ELSE 'P580' END AS pid, {SECONDS.format('ts')} AS q_ts FROM events), "
     "d AS (SELECT head, relation, CASE WHEN x AND y THEN 2 WHEN y THEN 1 WHEN x THEN 0 END AS action FROM flags WHERE x OR y) "
     f"SELECT d.head, d.relation, d.action, q.pid, q.q_ts, CASE q.pid WHEN 'P582' THEN 0 WHEN 'P580' THEN 1 END AS q_action FROM d LEFT JOIN q ON d.head = q.head AND d.relation = q.relation AND q.q_ts > {T8} AND q.q_ts < {T15} WHERE d.action < 2 OR q.pid IS NOT NULL"
 )
 def delta_with_qualifiers(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id % 7 = 0")
+    e = table(spark, sf, "events")
     q = e.select(F.col("user_id").alias("head"), F.col("event_type").alias("relation"), F.when(F.col("value") > 50, "P582").otherwise("P580").alias("pid"), seconds("ts").alias("q_ts"))
     iv = validity(spark, sf)
     return tp.with_qualifiers(iv, tp.delta(iv, T8, T15), q.withColumn("q_action", tp.qualifier_polarity(F.col("pid"))), T8, T15)
@@ -117,13 +117,13 @@ def merge_histories_stable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH o AS (SELECT o_custkey AS page, {SECONDS.format('o_orderdate')} AS ts, l_returnflag || l_linestatus AS element FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 400), rev AS (SELECT DISTINCT page, ts FROM o), "
+    f"WITH o AS (SELECT o_custkey AS page, {SECONDS.format('o_orderdate')} AS ts, l_returnflag || l_linestatus AS element FROM orders JOIN lineitem ON o_orderkey = l_orderkey), rev AS (SELECT DISTINCT page, ts FROM o), "
     "num AS (SELECT page, ts, row_number() OVER (PARTITION BY page ORDER BY ts) AS n FROM rev), el AS (SELECT DISTINCT o.page, num.n, o.ts, element FROM o JOIN num ON o.page = num.page AND o.ts = num.ts) "
     "SELECT a.page, a.ts, a.element, 'A' AS action FROM el a LEFT JOIN el b ON a.page = b.page AND a.element = b.element AND b.n = a.n - 1 WHERE b.page IS NULL "
     "UNION ALL SELECT a.page, num.ts, a.element, 'D' FROM el a JOIN num ON num.page = a.page AND num.n = a.n + 1 LEFT JOIN el b ON a.page = b.page AND a.element = b.element AND b.n = a.n + 1 WHERE b.page IS NULL"
 )
 def revision_diff(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey <= 400")
+    o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     rev = o.groupBy(F.col("o_custkey").alias("page"), seconds("o_orderdate").alias("ts")).agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("elements"))
     return tp.revision_diff(rev)
 
@@ -155,7 +155,7 @@ def qualifier_polarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CREATED = "c AS (SELECT e, min(ts) AS created FROM (SELECT head AS e, ts FROM edges UNION ALL SELECT tail, ts FROM edges) GROUP BY e)"
-T_EMERGE = 810000000
+CREATED_FROM = 810000000
 
 
 @query(f"WITH {EDGES}, {CREATED} SELECT edges.head, edges.tail, edges.order_id, h.created AS head_created, t.created AS tail_created FROM edges LEFT JOIN c h ON h.e = edges.head LEFT JOIN c t ON t.e = edges.tail")
@@ -168,14 +168,10 @@ def _created(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("head", "tail")).alias("entity"), F.col("ts").alias("created"))
 
 
-def _cutoff(spark: SparkSession, sf: str) -> int:
-    return T_EMERGE
-
-
-@query(f"WITH {EDGES}, {CREATED}, x AS (SELECT edges.*, h.created >= {T_EMERGE} AS emerging_head, t.created >= {T_EMERGE} AS emerging_tail FROM edges JOIN c h ON h.e = edges.head JOIN c t ON t.e = edges.tail) SELECT emerging_head, emerging_tail, count(*) AS n FROM x WHERE emerging_head OR emerging_tail GROUP BY 1, 2")
+@query(f"WITH {EDGES}, {CREATED}, x AS (SELECT edges.*, h.created >= {CREATED_FROM} AS emerging_head, t.created >= {CREATED_FROM} AS emerging_tail FROM edges JOIN c h ON h.e = edges.head JOIN c t ON t.e = edges.tail) SELECT emerging_head, emerging_tail, count(*) AS n FROM x WHERE emerging_head OR emerging_tail GROUP BY 1, 2")
 def emerging_entities(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)
-    return tp.emerging(joins.attach_creation(e, _created(e)), T_EMERGE).groupBy("emerging_head", "emerging_tail").agg(F.count("*").alias("n"))
+    return tp.emerging(joins.attach_creation(e, _created(e)), CREATED_FROM).groupBy("emerging_head", "emerging_tail").agg(F.count("*").alias("n"))
 
 
 ENDS = "(SELECT head AS entity FROM {0} UNION ALL SELECT tail FROM {0})"
@@ -204,14 +200,10 @@ def many_targets_having(spark: SparkSession, sf: str) -> DataFrame:
     return tp.pages_of_many(o.select(F.col("o_custkey").alias("page"), F.col("l_partkey").alias("target")), 60)
 
 
-PAIR_EDGES = "WITH e AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey AS b FROM lineitem WHERE l_partkey % 23 = 0 AND l_quantity > 45)"
-
-
-@query(
-    f"{PAIR_EDGES.replace('WITH', 'WITH RECURSIVE')}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(n, m) AS (SELECT a, a FROM u UNION SELECT reach.n, u.b FROM reach JOIN u ON reach.m = u.a) SELECT n AS node, min(m) AS component FROM reach GROUP BY n"
-)
+@query()
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").where("l_partkey % 23 = 0 AND l_quantity > 45").select(F.col("l_partkey").alias("head"), (F.col("l_suppkey") + 1000000).alias("tail")).distinct()
+    """Components of all part and supplier pairs; a recursive SQL form does not end on whole tables, so tests compare with a plain walk."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("head"), (F.col("l_suppkey") + 1000000).alias("tail")).distinct()
     return tp.components(e)
 
 
@@ -311,12 +303,12 @@ def pair_intersection_removed(spark: SparkSession, sf: str) -> DataFrame:
     return joins.on_pair(e.where("relation = 'R'"), e.where("relation = 'A'"), present=False).agg(F.count("*").alias("n"))
 
 
-MENTIONS = "m AS (SELECT DISTINCT o_custkey AS passage, entity FROM orders JOIN (SELECT order_id, head AS entity FROM edges UNION ALL SELECT order_id, tail FROM edges) x ON x.order_id = o_orderkey WHERE o_custkey <= 300)"
+MENTIONS = "m AS (SELECT DISTINCT o_custkey AS passage, entity FROM orders JOIN (SELECT order_id, head AS entity FROM edges UNION ALL SELECT order_id, tail FROM edges) x ON x.order_id = o_orderkey)"
 STATEMENTS = "st AS (SELECT head, relation, tail, min(ts) AS from_ts, CASE WHEN max(ts) % 2 = 0 THEN max(ts) END AS to_ts FROM edges GROUP BY 1, 2, 3)"
 
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey <= 300").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("passage"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("passage"))
     return o.join(edges(spark, sf), "order_id").select("passage", F.explode(F.array("head", "tail")).alias("entity")).distinct()
 
 
@@ -337,12 +329,12 @@ MID = 900000000
 
 @query(
     f"WITH {EDGES}, {MENTIONS}, {STATEMENTS}, {BOTH}, {CREATED}, s2 AS (SELECT st.*, h.created AS hc, t.created AS tc FROM st JOIN c h ON h.e = st.head JOIN c t ON t.e = st.tail WHERE to_ts IS NULL OR to_ts > {MID} + 100), "
-    f"x AS (SELECT DISTINCT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.head WHERE hc > {T_EMERGE} AND tc < {T_EMERGE} UNION SELECT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.tail WHERE tc > {T_EMERGE} AND hc < {T_EMERGE}) "
+    f"x AS (SELECT DISTINCT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.head WHERE hc > {CREATED_FROM} AND tc < {CREATED_FROM} UNION SELECT m.passage, head, relation, tail FROM s2 JOIN m ON m.entity = s2.tail WHERE tc > {CREATED_FROM} AND hc < {CREATED_FROM}) "
     "SELECT passage, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.passage = x.passage AND b.head = x.head AND b.relation = x.relation AND b.tail = x.tail) GROUP BY passage"
 )
 def emerging_end_to_old(spark: SparkSession, sf: str) -> DataFrame:
     st, e = _statements(spark, sf), edges(spark, sf)
-    found = joins.emerging_to_old(joins.attach_creation(st, _created(e)), _mentions(spark, sf), T_EMERGE, MID, 100)
+    found = joins.emerging_to_old(joins.attach_creation(st, _created(e)), _mentions(spark, sf), CREATED_FROM, MID, 100)
     return found.groupBy("passage").agg(F.count("*").alias("n"))
 
 
@@ -360,12 +352,12 @@ def priority_union(spark: SparkSession, sf: str) -> DataFrame:
     return joins.priority_union([(n, d.select("head", "tail")) for n, d in parts], ["head", "tail"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-QUAL = f"q AS (SELECT user_id AS head, event_type AS relation, CASE WHEN value > 50 THEN 'P582' ELSE 'P580' END AS pid, {SECONDS.format('ts')} AS q_ts FROM events WHERE event_id % 7 = 0)"
+QUAL = f"q AS (SELECT user_id AS head, event_type AS relation, CASE WHEN value > 50 THEN 'P582' ELSE 'P580' END AS pid, {SECONDS.format('ts')} AS q_ts FROM events)"
 
 
 @query(f"{HISTORY}, {QUAL}, lastq AS (SELECT head, relation, max(q_ts) AS q_ts FROM q WHERE pid = 'P582' AND q_ts < {T15} GROUP BY 1, 2) SELECT iv.head, iv.relation, iv.from_ts, lastq.q_ts AS removal_ts FROM iv LEFT JOIN lastq ON iv.head = lastq.head AND iv.relation = lastq.relation")
 def qualifier_removal_attach(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id % 7 = 0")
+    e = table(spark, sf, "events")
     pid = F.when(F.col("value") > 50, "P582").otherwise("P580")
     q = e.select(F.col("user_id").alias("head"), F.col("event_type").alias("relation"), pid.alias("pid"), seconds("ts").alias("q_ts"), tp.qualifier_polarity(pid).alias("q_action"))
     return joins.removal_qualifiers(validity(spark, sf), q, T15, ["head", "relation"]).select("head", "relation", "from_ts", "removal_ts")
@@ -459,9 +451,9 @@ def revision_for_time(spark: SparkSession, sf: str) -> DataFrame:
     return joins.revision_for(r, targets, 30 * DAY)
 
 
-@query(f"WITH RECURSIVE mv AS (SELECT 'T' || (event_id % 400) AS title, 'T' || ((event_id * 7 + 1) % 400) AS new_title, min({SECONDS.format('ts')}) AS ts FROM events WHERE event_id % 9 = 0 GROUP BY 1, 2), one AS (SELECT title, ts, min(new_title) AS new_title FROM mv GROUP BY 1, 2), s AS (SELECT DISTINCT title, {T0} AS ts FROM one), walk(title, ts, final, since, hop) AS (SELECT title, ts, title, ts, 0 FROM s UNION ALL SELECT w.title, w.ts, o.new_title, o.ts, hop + 1 FROM walk w JOIN one o ON o.title = w.final AND o.ts = (SELECT min(x.ts) FROM one x WHERE x.title = w.final AND x.ts > w.since) WHERE hop < 1000) SELECT title, ts, arg_max(final, hop) AS final FROM walk GROUP BY 1, 2")
+@query(f"WITH RECURSIVE mv AS (SELECT 'T' || (event_id % 400) AS title, 'T' || ((event_id * 7 + 1) % 400) AS new_title, min({SECONDS.format('ts')}) AS ts FROM events GROUP BY 1, 2), one AS (SELECT title, ts, min(new_title) AS new_title FROM mv GROUP BY 1, 2), s AS (SELECT DISTINCT title, {T0} AS ts FROM one), walk(title, ts, final, since, hop) AS (SELECT title, ts, title, ts, 0 FROM s UNION ALL SELECT w.title, w.ts, o.new_title, o.ts, hop + 1 FROM walk w JOIN one o ON o.title = w.final AND o.ts = (SELECT min(x.ts) FROM one x WHERE x.title = w.final AND x.ts > w.since) WHERE hop < 1000) SELECT title, ts, arg_max(final, hop) AS final FROM walk GROUP BY 1, 2")
 def move_chain(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id % 9 = 0")
+    e = table(spark, sf, "events")
     name = lambda c: F.concat(F.lit("T"), c.cast("string"))
     mv = e.groupBy(name(F.col("event_id") % 400).alias("title"), name((F.col("event_id") * 7 + 1) % 400).alias("new_title")).agg(F.min(seconds("ts")).alias("ts"))
     return joins.follow_moves(mv.select("title", F.lit(T0).cast("bigint").alias("ts")).distinct(), mv)
@@ -475,11 +467,6 @@ def title_variants(spark: SparkSession, sf: str) -> DataFrame:
     return joins.title_variants(q, t.unionByName(r.select(F.col("r_name").alias("title"), (F.col("r_regionkey") + 2000).alias("page_id"))))
 
 
-def _page_ids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_partkey").alias("page")), table(spark, sf, "part"), li
-
-
 @query("SELECT p_partkey AS page, p_brand AS qid FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'A') AND p_size > 10")
 def both_sides_parsed(spark: SparkSession, sf: str) -> DataFrame:
     """Page ids with an entity id, if both sides were parsed."""
@@ -496,8 +483,8 @@ def anti_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return count(joins.on_pair(a, r, False), "added").unionByName(count(joins.on_pair(r, a, False), "removed"))
 
 
-@query("WITH t AS (SELECT o_orderkey AS passage, lower(trim(c_mktsegment)) AS h, lower(trim(o_orderpriority)) AS t FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 3000), m AS (SELECT DISTINCT o_orderkey AS passage, lower(trim(c_mktsegment)) AS surface, 'Q' || c_nationkey AS entity FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 3000 UNION SELECT o_orderkey, lower(trim(o_orderpriority)), 'Q9' || o_orderstatus FROM orders WHERE o_orderkey <= 3000) SELECT t.passage, a.entity AS head, b.entity AS tail FROM t JOIN m a ON a.passage = t.passage AND a.surface = t.h JOIN m b ON b.passage = t.passage AND b.surface = t.t")
+@query("WITH t AS (SELECT o_orderkey AS passage, lower(trim(c_mktsegment)) AS h, lower(trim(o_orderpriority)) AS t FROM orders JOIN customer ON c_custkey = o_custkey), m AS (SELECT DISTINCT o_orderkey AS passage, lower(trim(c_mktsegment)) AS surface, 'Q' || c_nationkey AS entity FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT o_orderkey, lower(trim(o_orderpriority)), 'Q9' || o_orderstatus FROM orders) SELECT t.passage, a.entity AS head, b.entity AS tail FROM t JOIN m a ON a.passage = t.passage AND a.surface = t.h JOIN m b ON b.passage = t.passage AND b.surface = t.t")
 def surface_to_entities(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey <= 3000").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumnRenamed("o_orderkey", "passage")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).withColumnRenamed("o_orderkey", "passage")
     m = o.select("passage", F.col("c_mktsegment").alias("mention_text"), F.concat(F.lit("Q"), "c_nationkey").alias("entity")).unionByName(o.select("passage", F.col("o_orderpriority").alias("mention_text"), F.concat(F.lit("Q9"), "o_orderstatus").alias("entity")))
     return joins.surface_to_entities(o.select("passage", F.col("c_mktsegment").alias("head_label"), F.col("o_orderpriority").alias("tail_label")), m).select("passage", "head", "tail")

@@ -202,7 +202,7 @@ def template_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _wiki() -> Column:
-    return F.concat(F.lit("'''Page''' {{a|{{b}}}} on [["), F.col("source"), F.lit("|the source]] and [["), F.col("lang"), F.lit("]]. {{nowrap|kept}} <!-- no --> "), F.left("text", F.lit(30)))
+    return F.concat(F.lit("'''Page''' {{a|{{b}}}} on [["), F.col("source"), F.lit("|the source]] and [["), F.col("lang"), F.lit("]]. {{nowrap|kept}} <!-- no --> "), F.coalesce("text", F.lit("")))
 
 
 @query()
