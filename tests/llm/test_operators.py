@@ -655,7 +655,9 @@ def brute_license(text):
     idf, vectors = license_scan.weights()
     idf = dict(idf)
     best = None
-    for line in (text or "").split("\n"):
+    text = text or ""
+    units = text.split("\n") + [x for x in re.split(license_scan.BLANK, text) if "\n" in x] + ([text] if re.search(license_scan.BLANK, text) else [])
+    for line in units:
         if not re.search(license_scan.MARKERS, line):
             continue
         c = collections.Counter(t for t in license_scan._tokens(line) if t in idf)
@@ -681,6 +683,23 @@ def test_license_of_each_document(spark):
     assert found > 20
 
 
+def test_licence_texts(spark):
+    """Every template is found as itself, wrapped as in files, beside code; ordinary prose is not."""
+    wrap = lambda t: "\n".join(t[k : k + 70] for k in range(0, len(t), 70))
+    names = list(license_scan.TEMPLATES)
+    rows = [(k, f"p{k}/LICENSE", license_scan.TEMPLATES[n]) for k, n in enumerate(names)]
+    long_ = [k for k, n in enumerate(names) if len(license_scan.TEMPLATES[n]) > 300]
+    rows += [(1000 + k, f"w{k}/LICENSE", "Title\n\n" + wrap(" ".join(license_scan.TEMPLATES[names[k]].split()))) for k in long_]
+    rows += [(2000 + k, f"p{k}/a/b/code.c", "int main() {}") for k in range(len(names))]
+    rows += [(5000, "q/x", "He was free to license the idea to any person, in the hope that a copy would be useful to others who were not there.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df, path=F.col("path"), keep=["doc_id"]).collect()}
+    for k, n in enumerate(names):
+        own = n.split("/")[0]
+        assert (got[k].license, got[k].via, got[2000 + k].license, got[2000 + k].via) == (own, "file", own, "inherited"), n
+    assert all(got[1000 + k].license == names[k].split("/")[0] for k in long_) and got[5000].license is None
+
+
 def test_license_inheritance(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "code"), (3, "a/b/LICENSE", "Licensed under CC BY-NC 4.0."), (4, "a/x.py", "Licensed under the Apache License, Version 2.0\n" + "code " * 90), (5, "z/y", None), (6, None, "text"), (7, "a/b/d/e.py", "")]
     df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.io import table
 from tidegraph.llm import decontaminate, gru_lm, kdtree, license_scan, minhash, secrets, sentencepiece_codec, subword_classifier, suffix_repeats, weak_rules
-from tidegraph.llm.license_sql import license_sql
+from tidegraph.llm.license_sql import FOLDERS, license_sql
 from tidegraph.registry import Registry
 
 LLM = Registry()
@@ -88,7 +88,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.query(license_sql())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document; its path is source/lang/doc_id."""
+    """Licence of every document; the table has no paths, so its folder is made of source, language and id."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.expr(FOLDERS.format("STRING")), F.col("doc_id").cast("string"))
     return license_scan.scan(docs, path=path, keep=["doc_id"])
