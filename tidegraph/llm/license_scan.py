@@ -21,6 +21,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.llm.store import Scratch
+
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
@@ -120,7 +122,7 @@ def scan(docs: DataFrame, *, text: str = "text", path: Column, keep: list[str],
     rows = docs.select(*[F.col(c) for c in keep], F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("__text"))
     rows = rows.withColumn("__row", F.xxhash64("path", "__text", *keep))
     marked = rows.where(F.col("__text").rlike(MARKERS)).select("__row", "__text").distinct()
-    tagged = lambda parts, kind, many: F.transform(F.filter(parts, lambda x: many(x)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("body")))
+    tagged = lambda parts, kind, many: F.transform(F.filter(parts, lambda x: many(x)), lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x).alias("chars"), x.alias("body")))
     units = F.concat(
         tagged(F.split("__text", "\n"), 0, lambda x: F.lit(True)),
         tagged(F.split("__text", BLANK), 1, lambda x: x.contains("\n")),
@@ -129,10 +131,11 @@ def scan(docs: DataFrame, *, text: str = "text", path: Column, keep: list[str],
     lines = (
         marked.select("__row", F.length("__text").alias("__size"), F.posexplode(units).alias("__line", "u"))
         .where(F.col("u.body").rlike(MARKERS))
-        .select("__row", "__size", "__line", F.col("u.kind").alias("__kind"), F.length("u.body").alias("__chars"), F.explode(F.regexp_extract_all(F.lower("u.body"), F.lit(TOKEN), F.lit(0))).alias("token"))
+        .select("__row", "__size", "__line", F.col("u.kind").alias("__kind"), F.col("u.chars").alias("__chars"), F.explode(F.regexp_extract_all(F.lower("u.body"), F.lit(TOKEN), F.lit(0))).alias("token"))
     )
     counted = lines.groupBy("__row", "__line", "token").agg(F.count("*").alias("n"), F.max("__kind").alias("__kind"), F.max("__chars").alias("__chars"), F.max("__size").alias("__size"))
-    weighed = counted.join(idf, "token").withColumn("x", F.col("n") * F.col("idf"))
+    # Written once, as both aggregations below read it: the texts of a few rows in a hundred, by token.
+    weighed = Scratch(spark, "license").keep(counted.join(idf, "token").withColumn("x", F.col("n") * F.col("idf")), "weighed")
     # Dot products and the vector's own length in one aggregation: a row without template adds to the length.
     dots = weighed.join(template, "token").groupBy("__row", "__line", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     norms = weighed.groupBy("__row", "__line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max("__kind").alias("__kind"), F.max("__chars").alias("__chars"), F.max("__size").alias("__size"))
