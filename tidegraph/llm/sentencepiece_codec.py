@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +36,9 @@ from tidegraph.llm import textbatch as tb
 SPACE = "▁"
 #: Units remembered by one worker; the memory is emptied beyond that.
 REMEMBERED = 200_000
-PAIRS_REMEMBERED = 500_000
+PAIRS_REMEMBERED = 250_000
+#: Of these, so many stay when a task ends.
+KEPT_UNITS = 30_000
 #: Longer units are not remembered.
 LONG_UNIT = 64
 
@@ -62,6 +65,7 @@ class PrefixTableCodec:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i, kind in enumerate(kinds) if kind == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.silent = {i for i, kind in enumerate(kinds) if kind == 3}
+        self.texts = ["" if i in self.silent else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.end = next((i for i in self.silent if self.pieces[i] == "</s>"), spec.trainer_spec.eos_id)
         singles = {p for p in self.ids if len(p) == 1}
         if any(c not in singles for p in self.ids for c in p) or any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -273,6 +277,8 @@ class PrefixTableCodec:
 
     def pieces_text(self, ids: tuple[int, ...]) -> str:
         """Text of ids before the first space goes: pieces, bytes as UTF-8 (invalid ones as U+FFFD)."""
+        if self.bytes_of.keys().isdisjoint(ids):
+            return "".join([self.texts[i] for i in ids])
         out: list[str] = []
         waiting = bytearray()
         for i in ids:
@@ -343,8 +349,8 @@ class _Digest:
         return found
 
     def forget(self) -> None:
-        self.memory, self.old = {}, {}
-        self.codec.compatible.clear()
+        """Keeps the units that were met first, which are mostly common words, and drops the others."""
+        self.memory, self.old = dict(itertools.islice(self.memory.items(), KEPT_UNITS)), {}
 
     def text(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids as text, sha256 of the decoded text."""
@@ -359,7 +365,7 @@ class _Digest:
 
 @lru_cache(maxsize=1)
 def _digest(model: bytes) -> _Digest:
-    """One for each Python worker: tasks that follow find the automaton; what a task remembers goes with it."""
+    """One for each Python worker: tasks that follow find the automaton; most of what a task remembers goes with it."""
     return _Digest(PrefixTableCodec(model))
 
 
