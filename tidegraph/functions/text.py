@@ -49,9 +49,13 @@ def line_noise_ok(x: Column) -> Column:
     return F.when(dense, False).when(stars > 1, title.contains("list of") | cast | (words >= stars)).otherwise(~(see_also & (words < 2)))
 
 
+#: A word character: letters and digits of all scripts, and the underscore.
+WORD = r"[\p{L}\p{N}_]"
+
+
 def tokens2(x: Column) -> Column:
     """Distinct lower-case tokens of two or more word characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\b\w\w+\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(WORD + "{2,}"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -79,7 +83,7 @@ def prefix_edit(a: Column, b: Column, n: int) -> Column:
 
 def words(x: Column) -> Column:
     """All lower-case word runs in order."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(x), F.lit(WORD + "+"), F.lit(0))
 
 
 def max_gram_count(w: Column, n: int = 3) -> Column:
@@ -112,7 +116,7 @@ def degenerate_flags(x: Column) -> Column:
         low = (n >= 4) & (unique < n * 0.30)
         gram = (n >= 6) & (max_gram_count(w) > 5)
         run = longest_run(raw_tokens(x)) > 4
-        punct = x.rlike(r"([^\w\s])\1{7,}")
+        punct = x.rlike(r"([^\p{L}\p{N}_\s])\1{7,}")
         long_ = (n > 600) & (n <= 1900)
         first = F.array(F.when(n < 3, F.lit("very_few_words")), F.when(head.contains("YES") & head.contains("NO"), F.lit("contradiction")))
         loops = F.array(F.when(low, F.lit("low_unique_ratio")), F.when(gram, F.lit("repeated_ngram")), F.when(run, F.lit("repeated_token")), F.when(punct, F.lit("repeated_punct")))

@@ -192,13 +192,6 @@ def not_done(work: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     return work.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
-def blocked_pairs(df: DataFrame, block: Sequence[str], order: str) -> DataFrame:
-    """Pairs within a block, each once, as structs a and b (J24). Blocks must be small: an anchor, a length band."""
-    a = df.select(*block, F.struct("*").alias("a"))
-    b = df.select(*block, F.struct("*").alias("b"))
-    return a.join(b, list(block)).where(F.col(f"a.{order}") < F.col(f"b.{order}"))
-
-
 def title_variants(queries: DataFrame, titles: DataFrame, column: str = "title") -> DataFrame:
     """The page of a title as written, else capitalised, else in lower case."""
     t = F.col(column)

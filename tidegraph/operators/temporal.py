@@ -207,21 +207,24 @@ def pages_of_many(links: DataFrame, least: int, page: str = "page", target: str
     return links.groupBy(page).agg(F.countDistinct(target).alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(target).cast("string"))), "##").alias("targets")).where(F.col("n") > least)
 
 
+def cut(df: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """The rows kept for further use: by checkpoint() where the session names a folder, else in the cache."""
+    return df.checkpoint() if checkpoint and df.sparkSession.sparkContext.getCheckpointDir() is not None else df.cache()
+
+
 def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """(node, component) of an undirected edge table (head, tail): iterated least labels with pointer jumping.
 
     A few shuffles a round, rounds by the logarithm of the longest chain. Lineage is cut by checkpoint() where the
     session names a folder.
     """
-    can_cut = checkpoint and edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    cut = (lambda df: df.checkpoint()) if can_cut else (lambda df: df.cache())
-    both = cut(edges.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b")).unionByName(edges.where("head <> tail").select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    both = cut(edges.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b")).unionByName(edges.where("head <> tail").select(F.col("tail").alias("a"), F.col("head").alias("b"))).distinct(), checkpoint)
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), checkpoint)
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").groupBy("node").agg(F.min("label").alias("near"))
         mine = labels.join(near.withColumnRenamed("node", "a"), "a").select("a", F.least("label", "near").alias("label"))
         parent = mine.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        after = cut(mine.join(parent, "label").select("a", F.least("label", "up").alias("label")))
+        after = cut(mine.join(parent, "label").select("a", F.least("label", "up").alias("label")), checkpoint)
         changed = after.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").limit(1).count()
         labels = after
         if not changed:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import assignment as pyfn
 from tidegraph.functions import text as tx
 from tidegraph.io import table
-from tidegraph.operators import curation, instances, joins
+from tidegraph.operators import curation, instances
 from tidegraph.plans import REGISTRY
 
 query = REGISTRY.query
@@ -48,7 +48,7 @@ simple(
 simple("short_hash", lambda: {"h": tx.short_hash(F.col("text"), 8)}, "SELECT doc_id, substr(translate(rtrim(to_base64(unhex(sha256(text))), '='), '+/', '-_'), 1, 8) AS h FROM documents")
 simple("first_n_tokens", lambda: {"head": tx.first_tokens(F.col("text"), 20)}, "SELECT doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') AS head FROM documents")
 simple("template_residue", lambda: {"residue": F.col("text").contains("{{"), "table": F.col("text").contains(" | ")}, "SELECT doc_id, contains(text, '{{') AS residue, contains(text, ' | ') AS \"table\" FROM documents")
-simple("label_normalize", lambda: {"label": tx.normalize_label(F.left(F.col("text"), F.lit(60)))}, r"SELECT conv_id, turn, trim(regexp_replace(lower(replace(left(text, 60), '_', ' ')), '\s+', ' ', 'g')) AS label FROM conversations", "conversations", ["conv_id", "turn"])
+simple("label_normalize", lambda: {"label": tx.normalize_label(F.col("text"))}, r"SELECT conv_id, turn, trim(regexp_replace(lower(replace(text, '_', ' ')), '\s+', ' ', 'g')) AS label FROM conversations", "conversations", ["conv_id", "turn"])
 simple("skipped_paragraphs", lambda: {"skip": tx.is_skipped_paragraph(F.concat(F.when(F.col("doc_id") % 5 == 0, "File:").when(F.col("doc_id") % 7 == 0, "{{x").otherwise(""), F.col("text")))}, r"SELECT doc_id, regexp_matches(trim(CASE WHEN doc_id % 5 = 0 THEN 'File:' WHEN doc_id % 7 = 0 THEN '{{x' ELSE '' END || text), '^(\{\{|\[*(File|Image|Category|Wiktionary):)') AS skip FROM documents")
 
 
@@ -60,7 +60,7 @@ def degenerate_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 simple(
     "word_flags", lambda: {"n": F.size(tx.words(F.col("text"))), "few": F.size(tx.words(F.col("text"))) < 3, "low_unique": (F.size(tx.words(F.col("text"))) >= 4) & (F.size(F.array_distinct(tx.words(F.col("text")))) < F.size(tx.words(F.col("text"))) * 0.3)},
-    r"WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^a-z0-9_]', ' ', 'g'), '\w+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INT) AS n, len(w) < 3 AS few, len(w) >= 4 AND len(list_distinct(w)) < len(w) * 0.3 AS low_unique FROM w",
+    r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INT) AS n, len(w) < 3 AS few, len(w) >= 4 AND len(list_distinct(w)) < len(w) * 0.3 AS low_unique FROM w",
 )
 
 
@@ -74,32 +74,28 @@ def ngram_max_count(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", tx.max_gram_count(F.split(F.lower("text"), " ")).alias("most"))
 
 
-ASCII = r"regexp_matches(text, '^[\x00-\x7F]*$')"
-SHORT = f"SELECT doc_id, source, left(text, 300) AS text FROM documents WHERE {ASCII} AND length(text) < 900"
-
-
-def _short(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & (F.length("text") < 900)).select("doc_id", "source", F.left("text", F.lit(300)).alias("text"))
-
-
-@query(f"WITH s AS ({SHORT}) SELECT a.source, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE least(length(a.text), length(b.text)) >= 0.8 * greatest(length(a.text), length(b.text)) AND levenshtein(a.text, b.text) <= 0.2 * (length(a.text) + length(b.text))")
+@query()
 def dup_pairs_edit(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.similar_pairs(_short(spark, sf), ["source"], "doc_id", "text", most_edits=0.2, least_ratio=0.8).drop("edit_share")
+    """Whole texts of one source within an edit distance; DuckDB counts bytes, so the oracle is a brute-force test."""
+    return curation.similar_pairs(docs(spark, sf), ["source"], "doc_id", "text", most_edits=0.2, least_ratio=0.8).drop("edit_share")
 
 
 @query(
-    f"WITH s AS ({SHORT}), t AS (SELECT doc_id, source, list_distinct(list_filter(regexp_extract_all(lower(text), '\\w+'), lambda x: length(x) > 1)) AS w FROM s) SELECT a.source, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, "
-    "round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS jaccard FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.w) + len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.35 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
+    "WITH s AS (SELECT source, min(doc_id) AS doc_id, text, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS w FROM documents GROUP BY source, text), t AS (SELECT * FROM s WHERE len(w) > 0) "
+    "SELECT a.source, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, FALSE AS copy, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS jaccard FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id "
+    "WHERE len(list_intersect(a.w, b.w)) >= 0.35 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) UNION ALL SELECT t.source, t.doc_id, d.doc_id, TRUE, 1.0 FROM documents d JOIN t ON d.source = t.source AND d.text = t.text WHERE d.doc_id <> t.doc_id"
 )
 def dup_pairs_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return curation.similar_pairs(_short(spark, sf), ["source"], "doc_id", "text", least_jaccard=0.35).withColumn("jaccard", F.round("jaccard", 6))
+    """Whole texts of one source that share their tokens; equal texts are linked to the first of them."""
+    return curation.similar_pairs(docs(spark, sf), ["source"], "doc_id", "text", least_jaccard=0.35).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(f"WITH s AS ({SHORT}), x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.text AS s, b.text AS t FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE a.source = 'src3') SELECT a, b, CAST(levenshtein(left(s, 40), left(t, 40)) AS INT) AS prefix_edits, round(least(length(s), length(t)) / CAST(greatest(length(s), length(t)) AS DOUBLE), 6) AS ratio FROM x")
+@query()
 def prefix_edit(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = joins.blocked_pairs(_short(spark, sf).where("source = 'src3'"), ["source"], "doc_id")
-    a, b = F.col("a.text"), F.col("b.text")
-    return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), tx.prefix_edit(a, b, 40).alias("prefix_edits"), F.round(tx.length_ratio(a, b), 6).alias("ratio"))
+    """Edits between the openings of different texts of one source and nearly one length; DuckDB counts bytes, so the oracle is a brute-force test."""
+    a, b = F.col("__t_a"), F.col("__t_b")
+    pairs = curation.length_pairs(curation.distinct_texts(docs(spark, sf), ["source"], "doc_id", "text"), ["source"], 0.98)
+    return pairs.select("source", F.least("__rep_a", "__rep_b").alias("a"), F.greatest("__rep_a", "__rep_b").alias("b"), tx.prefix_edit(a, b, 40).alias("prefix_edits"), F.round(tx.length_ratio(a, b), 6).alias("ratio"))
 
 
 @query("SELECT source, lang, arg_max(doc_id, n_chars * 1000000 - doc_id) AS doc_id FROM documents GROUP BY 1, 2")
