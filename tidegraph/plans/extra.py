@@ -30,10 +30,10 @@ def action_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return instances.with_actions(d).select("head", "relation", "from_ts", F.array_join("actions", ",").alias("actions"))
 
 
-@query(f"WITH s AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, max({SECONDS.format('ts')}) AS last FROM events GROUP BY 1) SELECT user_id, ((2 * 4 >= n OR 4 >= 3) AND bad < n AND 4 > n * 0.2) OR bad = 0 OR user_id % 10 = 0 AS useful FROM s")
+@query(f"WITH s AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type = 'click') AS good FROM events GROUP BY 1) SELECT user_id, ((2 * good >= n OR good >= 3) AND bad < n AND good > n * 0.2) OR bad = 0 OR user_id % 10 = 0 AS useful FROM s")
 def useful_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    s = log(spark, sf).groupBy(F.col("head").alias("user_id")).agg(F.count("*").alias("n"), F.count_if(F.col("relation") == "error").alias("bad"))
-    return s.select("user_id", instances.useful(F.lit(4), F.col("n"), F.col("bad") >= F.col("n"), 3, F.col("bad") == 0, F.col("user_id") % 10 == 0).alias("useful"))
+    s = log(spark, sf).groupBy(F.col("head").alias("user_id")).agg(F.count("*").alias("n"), F.count_if(F.col("relation") == "error").alias("bad"), F.count_if(F.col("relation") == "click").alias("good"))
+    return s.select("user_id", instances.useful(F.col("good"), F.col("n"), F.col("bad") >= F.col("n"), 3, F.col("bad") == 0, F.col("user_id") % 10 == 0).alias("useful"))
 
 
 @query(f"WITH s AS (SELECT user_id, max({SECONDS.format('ts')}) FILTER (event_type = 'error') AS removal, max({SECONDS.format('ts')}) AS last FROM events GROUP BY 1) SELECT user_id, coalesce(last >= removal, TRUE) AS ok FROM s")

@@ -297,6 +297,13 @@ def pair_intersection_added(spark: SparkSession, sf: str) -> DataFrame:
     return joins.on_pair(e.where("relation = 'R'"), e.where("relation = 'A'")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {EDGES} SELECT relation, count(*) AS n FROM edges WHERE relation <> 'A' AND EXISTS (SELECT 1 FROM edges l WHERE l.relation = 'A' AND l.head = edges.head AND l.tail = edges.tail) GROUP BY 1")
+def pair_intersection_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges whose pair is also linked otherwise, the relation left aside."""
+    e = edges(spark, sf)
+    return joins.on_pair(e.where("relation <> 'A'"), e.where("relation = 'A'")).groupBy("relation").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {EDGES}, lk AS (SELECT DISTINCT head, tail FROM edges WHERE relation = 'A') SELECT count(*) AS n FROM edges WHERE relation = 'R' AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.head = edges.head AND lk.tail = edges.tail)")
 def pair_intersection_removed(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf)

@@ -98,10 +98,15 @@ def prefix_edit(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("source", F.least("__rep_a", "__rep_b").alias("a"), F.greatest("__rep_a", "__rep_b").alias("b"), tx.prefix_edit(a, b, 40).alias("prefix_edits"), F.round(tx.length_ratio(a, b), 6).alias("ratio"))
 
 
-@query("SELECT source, lang, arg_max(doc_id, n_chars * 1000000 - doc_id) AS doc_id FROM documents GROUP BY 1, 2")
+@query(
+    "WITH s AS (SELECT d.source, d.lang, d.doc_id, d.n_chars, coalesce(l.quality, 0) AS good, CASE WHEN l.toxic = 0 THEN 1 ELSE 0 END AS clean FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) "
+    "SELECT source, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY good DESC, clean DESC, n_chars DESC, doc_id) AS k FROM s) WHERE k = 1"
+)
 def prefer_better_duplicate(spark: SparkSession, sf: str) -> DataFrame:
-    prefer = curation.preference([F.lit(0)], F.col("n_chars"), -F.col("doc_id"))
-    return curation.best_of(docs(spark, sf).select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], prefer).select("source", "lang", "doc_id")
+    """The better of a group by support (here the labels), length and id."""
+    labelled = docs(spark, sf).select("source", "lang", "doc_id", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    rows = labelled.select("source", "lang", "doc_id", "n_chars", F.coalesce("quality", F.lit(0)).alias("good"), F.when(F.col("toxic") == 0, 1).otherwise(0).alias("clean"))
+    return curation.best_of(rows, ["source", "lang"], curation.preference([F.col("good"), F.col("clean")], F.col("n_chars"), -F.col("doc_id"))).select("source", "lang", "doc_id")
 
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -140,10 +145,16 @@ def english_word_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verdict_text() -> Column:
-    return F.concat(F.lit("["), F.lit("Q"), F.col("conv_id"), F.lit(" (a), P1 (b), Q"), F.col("turn"), F.lit(" (c)] "), F.when(F.length("text") % 2 == 0, "YES").otherwise("NO"), F.lit(" because"))
+    """Two answers a turn; every third turn the first one's relation is no id, so that only the second can be read."""
+    relation = F.when(F.col("turn") % 3 == 0, "speaks").otherwise("P1")
+    first = F.concat(F.lit("[Q"), F.col("conv_id"), F.lit(" (a), "), relation, F.lit(" (b), Q"), F.col("turn"), F.lit(" (c)] so "), F.when(F.length("text") % 2 == 0, "YES").otherwise("NO"))
+    return F.concat(F.lit("Let me see, YES: "), first, F.lit(" because\n[Q"), F.length("text"), F.lit(",P22 (x),  Q7 (y)]: NO, NOT YES"))
 
 
-@query("SELECT conv_id, turn, 'Q' || conv_id AS head, 'P1' AS relation, 'Q' || turn AS tail, length(text) % 2 = 0 AS verdict FROM conversations")
+@query(
+    "SELECT conv_id, turn, 'Q' || conv_id AS head, 'P1' AS relation, 'Q' || turn AS tail, length(text) % 2 = 0 AS verdict FROM conversations WHERE turn % 3 <> 0 "
+    "UNION ALL SELECT conv_id, turn, 'Q' || length(text), 'P22', 'Q7', FALSE FROM conversations"
+)
 def verdict_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.verdicts(_verdict_text())).alias("v")).select("conv_id", "turn", "v.*")
 
@@ -160,10 +171,15 @@ def triplet_decode(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.linearized_triplets(raw)).alias("t")).select("conv_id", "turn", "t.*")
 
 
-@query("SELECT conv_id, turn, role || '/' || CAST(conv_id AS VARCHAR) || '/said' AS items FROM conversations")
+@query(
+    "SELECT conv_id, turn, 0 AS k, role || '/' || CAST(conv_id AS VARCHAR) || '/said' AS items FROM conversations UNION ALL SELECT conv_id, turn, 1, 'a b/' || CAST(turn AS VARCHAR) || '/c/d' FROM conversations WHERE length(text) % 2 = 0"
+)
 def literal_triples(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("ADD: ['"), F.col("role"), F.lit("', '"), F.col("conv_id"), F.lit("', 'said']"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(tx.literal_triples(raw)[0], "/").alias("items"))
+    """Lists of three or four quoted items among lists of two and of five, of both quotes."""
+    four = F.concat(F.lit('["a b","'), F.col("turn"), F.lit("\", 'c',\"d\"]"))
+    five = F.lit("['1', '2', '3', '4', '5']")
+    raw = F.concat(F.lit("ADD: ['two', 'only'] ['"), F.col("role"), F.lit("', '"), F.col("conv_id"), F.lit("', 'said'], "), F.when(F.length("text") % 2 == 0, four).otherwise(five))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tx.literal_triples(raw)).alias("k", "i")).select("conv_id", "turn", "k", F.array_join("i", "/").alias("items"))
 
 
 @query("SELECT conv_id, turn, role AS definition FROM conversations")
@@ -245,11 +261,15 @@ def duplicate_fold(spark: SparkSession, sf: str) -> DataFrame:
     return curation.fold_duplicates(rows, ["source"], "doc_id", "text", ["good"], most_edits=0.2).select("source", "doc_id")
 
 
-@query("WITH p AS (SELECT doc_id, lang || '|' || source AS t FROM documents), g AS (SELECT string_agg(DISTINCT t, ';' ORDER BY t) AS signature, doc_id % 40 AS k FROM p GROUP BY doc_id % 40) SELECT signature, count(*) AS n FROM g GROUP BY signature")
+@query(
+    "WITH g AS (SELECT conv_id, string_agg(CASE WHEN turn % 2 = 0 THEN 'add' ELSE 'infer' END || '|' || role || '|' || CAST(length(text) % 3 AS VARCHAR) || '|said', ';' ORDER BY CASE WHEN turn % 2 = 0 THEN 'add' ELSE 'infer' END, role, CAST(length(text) % 3 AS VARCHAR)) AS signature FROM conversations GROUP BY conv_id) "
+    "SELECT signature, count(*) AS n FROM g GROUP BY signature"
+)
 def signature_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of equal triple sets (G12): here the set of (lang, source) of 40 pseudo instances."""
-    each = docs(spark, sf).groupBy((F.col("doc_id") % 40).alias("k")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", "lang", "source"))), ";").alias("signature"))
-    return each.groupBy("signature").agg(F.count("*").alias("n"))
+    """Instances with one set of triples (G12): a conversation's turns as triples."""
+    triple = F.struct(F.when(F.col("turn") % 2 == 0, "add").otherwise("infer").alias("operation"), F.col("role").alias("head"), (F.length("text") % 3).cast("string").alias("relation"), F.lit("said").alias("tail"))
+    each = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(triple).alias("triples"))
+    return each.select(curation.signature(F.col("triples")).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id % 7 AS snapshot, lang, arg_min(doc_id, length(text) * 100000000 + doc_id) AS doc_id FROM documents GROUP BY 1, 2")

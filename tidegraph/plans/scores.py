@@ -302,15 +302,21 @@ def schema_union(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "lang").unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT source, lang, first(doc_id) AS doc_id FROM (SELECT source, lang, doc_id FROM documents WHERE FALSE) GROUP BY 1, 2")
+@query(
+    "WITH a AS (SELECT source, lang, n_chars % 50 AS k FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source, lang, n_chars % 50 AS k FROM documents WHERE doc_id % 2 = 1) "
+    "SELECT 'a' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"
+)
 def set_equality(spark: SparkSession, sf: str) -> DataFrame:
-    """Differences between a table and its reformatted self: none."""
-    a = table(spark, sf, "documents").select("source", "lang", "doc_id")
-    b = curation.first_of(a, ["doc_id"], ["source", "lang"]).select("source", "lang", "doc_id")
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    """Differences between two tables as multisets (U3): the odd and the even documents by source, language and length."""
+    half = lambda odd: table(spark, sf, "documents").where(F.col("doc_id") % 2 == odd).select("source", "lang", (F.col("n_chars") % 50).alias("k"))
+    a, b = half(0), half(1)
+    return a.exceptAll(b).select(F.lit("a").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("b").alias("side"), "*"))
 
 
-@query("SELECT count(*) AS bad_offsets, 0 AS mixed FROM documents WHERE length(text) <> n_chars")
+@query("SELECT (SELECT count(*) FROM documents WHERE length(text) <> n_chars) AS bad_offsets, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1)) AS mixed")
 def invariant_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Violation counts of what must hold (F22): offsets equal lengths, no statement both kept and dropped."""
-    return table(spark, sf, "documents").agg(F.count_if(F.length("text") != F.col("n_chars")).alias("bad_offsets"), F.lit(0).alias("mixed"))
+    """Violation counts of what must hold (F22): offsets equal lengths, nothing is both kept (good) and dropped (toxic)."""
+    labels = table(spark, sf, "labels")
+    mixed = labels.where("quality = 1").select("doc_id").intersect(labels.where("toxic = 1").select("doc_id")).agg(F.count("*").alias("mixed"))
+    bad = table(spark, sf, "documents").agg(F.count_if(F.length("text") != F.col("n_chars")).alias("bad_offsets"))
+    return bad.withColumn("one", F.lit(1)).join(mixed.withColumn("one", F.lit(1)), "one").drop("one")
