@@ -235,11 +235,11 @@ def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return joins.as_of(e.where("relation = 'click'").select("head", "ts", "seq"), right, ["head"], ["view_seq"])
 
 
-@query(f"WITH {LOG} SELECT l.head, l.ts, l.seq, (SELECT min(r.ts) FROM log r WHERE r.relation = 'purchase' AND r.head = l.head AND r.ts > l.ts) AS match_ts FROM log l WHERE relation = 'click'")
+@query(f"WITH {LOG} SELECT l.head, l.ts, l.seq, min(r.ts) AS match_ts, arg_min(r.seq, r.ts) AS next_seq FROM log l LEFT JOIN log r ON r.relation = 'purchase' AND r.head = l.head AND r.ts > l.ts WHERE l.relation = 'click' GROUP BY l.head, l.ts, l.seq")
 def next_event_after(spark: SparkSession, sf: str) -> DataFrame:
     e = log(spark, sf)
     right = e.where("relation = 'purchase'").select("head", "ts", F.col("seq").alias("next_seq"))
-    return joins.as_of(e.where("relation = 'click'").select("head", "ts", "seq"), right, ["head"], ["next_seq"], forward=True).drop("next_seq")
+    return joins.as_of(e.where("relation = 'click'").select("head", "ts", "seq"), right, ["head"], ["next_seq"], forward=True)
 
 
 LINES = "lines AS (SELECT DISTINCT user_id AS file, event_id AS line FROM events WHERE event_type = 'error')"

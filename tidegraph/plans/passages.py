@@ -159,16 +159,24 @@ def verdict_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.verdicts(_verdict_text())).alias("v")).select("conv_id", "turn", "v.*")
 
 
-@query("SELECT conv_id, turn, CAST(length(text) AS INT) AS n FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN NULL ELSE CAST(length(text) AS INT) END AS n FROM conversations")
 def first_json_in_text(spark: SparkSession, sf: str) -> DataFrame:
-    noisy = F.concat(F.lit("Sure, here it is: "), F.to_json(F.struct(F.length("text").alias("n"))), F.lit(" Anything else?"))
+    """Objects alone, within talk, before a second object, and cut off."""
+    one = F.to_json(F.struct(F.length("text").alias("n"), F.struct(F.col("turn").alias("n")).alias("inner")))
+    flat = F.to_json(F.struct(F.length("text").alias("n")))
+    noisy = F.when(F.col("turn") % 4 == 0, one).when(F.col("turn") % 4 == 1, F.concat(F.lit("Here: "), F.expr("left(to_json(struct(turn AS n)), 4)"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("Sure, here it is:\n"), one, F.lit(" Anything else?"))).otherwise(F.concat(flat, F.lit(" or "), F.lit('{"n": -1}')))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.try_variant_get(tx.first_json(noisy), "$.n", "int").alias("n"))
 
 
-@query("SELECT conv_id, turn, role AS head, 'said' AS relation, 'conv' || conv_id AS tail FROM conversations")
+@query(
+    "SELECT conv_id, turn, 0 AS k, role AS head, 'said to' AS relation, 'conv' || conv_id AS tail FROM conversations UNION ALL SELECT conv_id, turn, 1, 'turn ' || turn, 'of', 'x' FROM conversations WHERE length(text) % 2 = 0"
+)
 def triplet_decode(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("<s><triplet> "), F.col("role"), F.lit(" <subj> conv"), F.col("conv_id"), F.lit(" <obj> said</s>"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(tx.linearized_triplets(raw)).alias("t")).select("conv_id", "turn", "t.*")
+    """One or two triplets, and one without its object, which is left out."""
+    first = F.concat(F.lit("<s><triplet> "), F.col("role"), F.lit(" <subj> conv"), F.col("conv_id"), F.lit(" <obj> said to "))
+    second = F.when(F.length("text") % 2 == 0, F.concat(F.lit("<triplet> turn "), F.col("turn"), F.lit("<subj>x<obj>of"))).otherwise("")
+    raw = F.concat(first, F.lit("<triplet> no object <subj> here "), second, F.lit("</s><pad>"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tx.linearized_triplets(raw)).alias("k", "t")).select("conv_id", "turn", "k", "t.*")
 
 
 @query(
@@ -182,10 +190,12 @@ def literal_triples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tx.literal_triples(raw)).alias("k", "i")).select("conv_id", "turn", "k", F.array_join("i", "/").alias("items"))
 
 
-@query("SELECT conv_id, turn, role AS definition FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE role || ': ' || turn END AS definition, CAST(CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END AS INT) AS n FROM conversations")
 def relation_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("said: "), F.col("role"), F.lit("\nother: x\nsaid: late"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.try_element_at(tx.definitions(raw), F.lit("said")).alias("definition"))
+    """Definitions with colons of their own, doubled and missing names, and lines that are none."""
+    said = F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("\nsaid : "), F.col("role"), F.lit(": "), F.col("turn"), F.lit("\nsaid: late")))
+    found = tx.definitions(F.concat(F.lit("Relations\nother: x"), said))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.try_element_at(found, F.lit("said")).alias("definition"), F.size(found).alias("n"))
 
 
 @query("SELECT conv_id, turn, 'Role user'::VARCHAR || ': ' || role AS prompt FROM conversations".replace("'Role user'::VARCHAR", "'Role'"))
