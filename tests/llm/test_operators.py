@@ -295,6 +295,67 @@ def test_probabilities_sum_to_one():
     assert abs(head + rest - 1) < 1e-6
 
 
+def test_words_are_hashed_by_their_own_bytes(monkeypatch):
+    """Hash and shape are those of the word, wherever it lies; short words need no sums over the bytes of the chunk."""
+    rng = random.Random(5)
+    words_ = ["".join(rng.choice("abZ9.é字-") for _ in range(n)) for n in [*range(1, 24), 31, 32, 33, 60, 63, 64, 65, 66, 200, 5000] for _ in range(4)]
+    words_ += ["a", "A", "aaaaaaaa", "aaaaaaaaa", "a" * 16, "a" * 17, "a" * 64, "a" * 65, "a\0", "a\0\0"]
+    chunk = lambda texts: next(tb.chunks([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    codes, shapes, own = gru_lm.word_codes(chunk([" ".join(words_), "", "  ", *words_]))
+    n = len(words_)
+    assert own.tolist() == [0, n, n, n, *range(n + 1, 2 * n + 1)]
+    assert (codes[:n] == codes[n:]).all() and (shapes[:n] == shapes[n:]).all()
+    lower = [w.translate(LOWER) for w in words_]
+    assert len(set(codes.tolist())) == len(set(lower)) == len(set(zip(codes[:n].tolist(), lower)))
+    for w, shape in zip(lower, shapes):
+        raw = w.encode()
+        other = any(b < 128 and not chr(b).isalnum() for b in raw)
+        assert shape == any(b >= 128 for b in raw) + 2 * any(48 <= b <= 57 for b in raw) + 4 * other + 8 * (raw[-1:] in b".!?") + 16 * (len(raw) > 8), w
+
+    monkeypatch.setattr(tb, "SpanHash", None)
+    again, _, _ = gru_lm.word_codes(chunk([" ".join(w for w in words_ if len(w.encode()) <= gru_lm.LONG_WORD)]))
+    assert set(again.tolist()) <= set(codes.tolist())
+    assert all(len(x) == 0 for x in gru_lm.word_codes(chunk(["", None]))[:2])
+
+
+def test_many_steps_are_single_steps():
+    net, rng = small_network(), np.random.default_rng(4)
+    h = rng.normal(0, 0.5, (5, gru_lm.HIDDEN))
+    steps, plain = net.steps(), h
+    for _ in range(4):
+        x = rng.integers(0, gru_lm.INPUTS, 5)
+        plain, _ = net.step(plain, x)
+        h = steps(h, x)[0]
+        assert np.allclose(h, plain, atol=1e-12)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 2000])
+def test_rows_are_added_where_they_go(rows):
+    rng = np.random.default_rng(rows)
+    at = (30 * rng.random(rows) ** 3).astype(np.int16)
+    values, out, plain = rng.normal(0, 1, (rows, 6)), np.ones((30, 6)), np.ones((30, 6))
+    gru_lm._add_rows(out, values, at)
+    np.add.at(plain, at, values)
+    assert np.allclose(out, plain)
+
+
+def test_logits_far_from_their_bound():
+    """Sums that vanish under the common shift, or overflow, are taken row by row."""
+    rng = np.random.default_rng(8)
+    h, w = rng.normal(0, 1, (50, gru_lm.HIDDEN)), rng.normal(0, 1, (gru_lm.HIDDEN, 7))
+    at = rng.integers(0, 7, 50)
+    for scale, bias in ((1, 0), (60, 0), (1, 500), (1, -500)):
+        x = h * scale @ w
+        expected = x - x.max(1, keepdims=True)
+        expected -= np.log(np.exp(expected).sum(1, keepdims=True))
+        args = (h * scale).astype(np.float32), w.astype(np.float32), np.full(7, bias, np.float32), at
+        assert np.allclose(gru_lm._log_softmax(*args), expected[np.arange(50), at], rtol=1e-3, atol=1e-3)
+        error, _ = gru_lm._errors(*args)
+        share = np.exp(expected)
+        share[np.arange(50), at] -= 1
+        assert np.allclose(error, share, atol=2e-3)
+
+
 @pytest.mark.parametrize("lengths", [[], [0], [3, 0, 5], [700] * 7 + [1], [1000] * 1700], ids=len)
 def test_training_takes_every_token(lengths):
     seen, starts = np.zeros(gru_lm.CLASSES * gru_lm.CLASS, int), []

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,28 +55,58 @@ SHARDS = 4096
 SLICES = 64
 BROADCAST_WORDS = 1 << 18
 SCORE_WORDS = 2_500_000
+COUNT_WORDS = 1 << 20
 END = 0x1F3D5B79
 U = np.uint64
 F32 = np.float32
 
 
+#: What a byte adds to its word's shape: 1 beyond ASCII, 2 a digit, 4 neither letter nor digit.
+KINDS = np.full(256, 4, np.uint8)
+KINDS[128:], KINDS[48:58], KINDS[65:91], KINDS[97:123], KINDS[tb.SPACE] = 1, 2, 0, 0, 0
+#: The first n of eight bytes.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Words of more bytes are hashed by prefix sums.
+LONG_WORD = 64
+
+
+def _eights(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """table of the bytes, eight at a time from every place on."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(table, data, out=padded[: len(data)], mode="clip")
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def word_codes(chunk: tb.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and shape of every word, and n+1 offsets of each text's words."""
     data = chunk.data
     starts, ends, own = tb.words(chunk)
-    codes = tb.SpanHash(data, lower=True).of(starts, ends)
-
-    def holds(kind: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(kind, out=sums[1:])
-        return sums[ends] > sums[starts]
-
+    lengths = ends - starts
+    bodies, kinds = _eights(tb.LOWER, data), _eights(KINDS, data)
+    mask = FIRST[np.minimum(lengths, 8)]
+    codes = tb.mix((bodies[starts] & mask) ^ tb.mix(lengths.astype(U)))
+    held = kinds[starts] & mask
+    at = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+    done = 8
+    while len(at):
+        place, mask = starts[at] + done, FIRST[np.minimum(lengths[at] - done, 8)]
+        codes[at] = tb.mix((bodies[place] & mask) ^ codes[at])
+        held[at] |= kinds[place] & mask
+        done += 8
+        at = at[lengths[at] > done]
+    for k in (32, 16, 8):
+        held |= held >> U(k)
+    long = np.flatnonzero(lengths > LONG_WORD)
+    if len(long):
+        edges = np.zeros(len(long) + 1, np.int64)
+        np.cumsum(lengths[long], out=edges[1:])
+        bytes_ = data[np.arange(edges[-1]) + np.repeat(starts[long] - edges[:-1], lengths[long])]
+        codes[long] = tb.SpanHash(bytes_, lower=True).of(edges[:-1], edges[1:])
+        held[long] = np.bitwise_or.reduceat(KINDS[bytes_], edges[:-1])
     last = data[ends - 1] if len(ends) else data[:0]
-    letter = ((tb.LOWER[data] >= 97) & (tb.LOWER[data] <= 122)) | (data >= 128)
-    shape = holds(data >= 128) + 2 * holds((data >= 48) & (data <= 57)) + 4 * holds(~letter & ~tb.SPACE[data] & ~((data >= 48) & (data <= 57)))
     # Ends of sentences, and long words, are shapes of their own.
-    shape = shape + 8 * ((last == 46) | (last == 33) | (last == 63)) + 16 * (ends - starts > 8)
-    return codes, shape.astype(np.int64), own
+    shape = (held & U(7)).astype(np.int64) + 8 * ((last == 46) | (last == 33) | (last == 63)) + 16 * (lengths > 8)
+    return codes, shape, own
 
 
 class Vocabulary:
@@ -157,11 +187,48 @@ class Network:
         new = np.tanh(a[:, 2 * n :] + reset * r[:, 2 * n :])
         return new + z * (h - new), (h, z, reset, new, r[:, 2 * n :])
 
+    def steps(self) -> Callable[..., tuple]:
+        """step() for many steps with the same weights: the three gates lie apart, the halves and the bias are in the tables."""
+        n = HIDDEN
+        half = np.array([0.5, 0.5, 1], self.p["x"].dtype)[:, None, None]
+        x = (self.p["x"] + self.p["b"]).reshape(-1, 3, n).transpose(1, 0, 2) * half
+        u = self.p["u"].reshape(n, 3, n).transpose(1, 0, 2) * half
+        x, u = np.ascontiguousarray(x), np.ascontiguousarray(u)
+        one_half = x.dtype.type(0.5)
+
+        def step(h: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The next state, the gates and the candidate [3, lanes, hidden], and the recurrent part of the candidate."""
+            a, r = x.take(inputs, 1), np.matmul(h, u)
+            gates, new = a[:2], a[2]
+            gates += r[:2]
+            np.tanh(gates, out=gates)
+            gates *= one_half
+            gates += one_half
+            new += a[1] * r[2]
+            np.tanh(new, out=new)
+            h = h - new
+            h *= a[0]
+            h += new
+            return h, a, r[2]
+
+        return step
+
     def log_probabilities(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of p(class) and, in head classes, of p(word | class), for states and targets."""
-        out = _log_softmax(h @ self.p["c"] + self.p["cb"], classes)
-        for c, at in _by_class(classes):
-            out[at] += _log_softmax(h[at] @ self.p["w"][c] + self.p["wb"][c], words[at])
+        order, runs = _by_class(classes)
+        h, classes, words = h.take(order, 0), classes[order], words[order]
+        got = np.empty(len(h))
+        cb = _shifted(self.p["c"], self.p["cb"])
+        for a in range(0, len(h), TILE):
+            at = slice(a, a + TILE)
+            got[at] = _log_softmax(h[at], self.p["c"], cb, classes[at])
+        for c, a, b in runs:
+            wb = _shifted(self.p["w"][c], self.p["wb"][c])
+            for first in range(a, b, TILE):
+                at = slice(first, min(first + TILE, b))
+                got[at] += _log_softmax(h[at], self.p["w"][c], wb, words[at])
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def train(self, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, fresh: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
@@ -179,89 +246,146 @@ class Network:
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         steps, lanes = inputs.shape
-        n, p = HIDDEN, self.p
-        states, kept = np.empty((steps, lanes, n), h.dtype), []
+        n, p, kind = HIDDEN, self.p, h.dtype
+        states, before, gates, candidate = np.empty((steps, lanes, n), kind), [], [], []
+        step = self.steps()
+        starts = [np.flatnonzero(f) for f in fresh]
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            h, tape = self.step(h, inputs[t])
+            h = h.copy() if t == 0 else h
+            h[starts[t]] = 0
+            before.append(h)
+            h, a, r = step(h, inputs[t])
+            # A start in the next step must not change this step's state.
             states[t] = h
-            kept.append(tape)
-        flat, scale = states.reshape(-1, n), h.dtype.type(1 / lanes)
-        target, word = classes.ravel(), words.ravel()
-        every = np.arange(len(flat))
-        prob, total = _exponentials(flat @ p["c"] + p["cb"])
-        prob *= (1 / total)[:, None]
-        loss = -np.log(np.maximum(prob[every, target], 1e-30)).sum()
-        prob[every, target] -= 1
+            gates.append(a)
+            candidate.append(r)
+        scale = kind.type(1 / lanes)
         # All gradients are sums over the window; they are scaled by the lanes at the end.
-        grads = {k: np.zeros_like(v) for k, v in p.items() if k in ("x", "u", "w", "wb")}
-        grads["c"], grads["cb"] = flat.T @ prob, prob.sum(0)
-        back = prob @ p["c"].T
-        for c, at in _by_class(target):
-            own, of = flat[at], word[at]
-            q, total = _exponentials(own @ p["w"][c] + p["wb"][c])
-            q *= (1 / total)[:, None]
-            loss -= np.log(np.maximum(q[every[: len(at)], of], 1e-30)).sum()
-            q[every[: len(at)], of] -= 1
-            grads["w"][c], grads["wb"][c] = own.T @ q, q.sum(0)
-            back[at] += q @ p["w"][c].T
-        back = back.reshape(steps, lanes, n)
-        dh = np.zeros((lanes, n), h.dtype)
-        da, dr = np.empty((steps, lanes, 3 * n), h.dtype), np.empty((steps, lanes, 3 * n), h.dtype)
+        grads = {k: np.zeros_like(v) for k, v in p.items() if k != "b"}
+        # Targets of a class lie side by side.
+        order, runs = _by_class(classes.ravel())
+        own, target, word = states.reshape(-1, n).take(order, 0), classes.ravel()[order], words.ravel()[order]
+        back = np.empty_like(own)
+        cb, back_c = _shifted(p["c"], p["cb"]), np.ascontiguousarray(p["c"].T)
+        loss = 0.0
+        for first in range(0, len(own), TILE):
+            at = slice(first, first + TILE)
+            prob, lost = _errors(own[at], p["c"], cb, target[at])
+            loss += lost
+            grads["c"] += own[at].T @ prob
+            grads["cb"] += np.ones(len(prob), kind) @ prob
+            np.matmul(prob, back_c, out=back[at])
+        for c, a, b in runs:
+            w = p["w"][c]
+            wb = _shifted(w, p["wb"][c])
+            for first in range(a, b, TILE):
+                at = slice(first, min(first + TILE, b))
+                q, lost = _errors(own[at], w, wb, word[at])
+                loss += lost
+                grads["w"][c] += own[at].T @ q
+                grads["wb"][c] += np.ones(len(q), kind) @ q
+                back[at] += q @ w.T
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        back = back.take(place, 0).reshape(steps, lanes, n)
+        dh = np.zeros((lanes, n), kind)
+        da, dr = np.empty((steps, lanes, 3, n), kind), np.empty((3, lanes, n), kind)
+        u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 2, 0))
+        of_u = np.zeros((3, n, n), kind)
         for t in reversed(range(steps)):
-            before, z, reset, new, rn = kept[t]
-            dh = dh + back[t]
+            (z, reset, new), rn = gates[t], candidate[t]
+            dh += back[t]
             keep = dh * z
-            dnew = (dh - keep) * (1 - new * new)
-            da[t, :, :n] = (before - new) * keep * (1 - z)
-            da[t, :, n : 2 * n] = dnew * rn * reset * (1 - reset)
-            da[t, :, 2 * n :] = dnew
-            dr[t, :, : 2 * n] = da[t, :, : 2 * n]
-            dr[t, :, 2 * n :] = dnew * reset
-            dh = (keep + dr[t] @ p["u"].T) * ~fresh[t][:, None]
-        grads["u"] = np.concatenate([k[0] for k in kept]).T @ dr.reshape(-1, 3 * n)
-        flat_da, flat_in = da.reshape(-1, 3 * n), inputs.ravel()
-        grads["b"] = flat_da.sum(0)
-        order = np.argsort(flat_in, kind="stable")
-        which, first = np.unique(flat_in[order], return_index=True)
-        grads["x"][which] = np.add.reduceat(flat_da[order], first, axis=0)
+            dnew = dh
+            dnew -= keep
+            dnew *= 1 - new * new
+            np.subtract(before[t], new, out=dr[0])
+            dr[0] *= keep
+            dr[0] *= 1 - z
+            np.multiply(dnew, reset, out=dr[2])
+            np.multiply(dr[2], rn, out=dr[1])
+            dr[1] *= 1 - reset
+            da[t, :, 0], da[t, :, 1], da[t, :, 2] = dr[0], dr[1], dnew
+            of_u += np.matmul(before[t].T, dr)
+            back_u = np.matmul(dr, u)
+            keep += back_u[0]
+            keep += back_u[1]
+            keep += back_u[2]
+            keep[starts[t]] = 0
+            dh = keep
+        grads["u"] = of_u.transpose(1, 0, 2).reshape(n, 3 * n)
+        _add_rows(grads["x"], da.reshape(-1, 3 * n), inputs.ravel())
+        grads["b"] = grads["x"].sum(0)
         for g in grads.values():
             g *= scale
-        loss *= scale
-        return grads, h, float(loss)
+        return grads, h, float(loss * scale)
+
+
+#: Rows of logits that are held at once, so that they stay in the cache.
+TILE = 512
+
 
+def _shifted(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The bias less the largest logit that a state can have (its elements lie between -1 and 1), so that no exponential overflows."""
+    return bias - (np.abs(weights).sum(0) + bias).max()
 
-def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each row less a common shift, in place of x, and the rows' sums. The shift is the largest element of all, which
-    is quick to find; only if a row lies so far below it that its sum is lost are rows shifted by their own."""
-    if not x.size:
-        return x, np.ones(len(x), x.dtype)
-    e = np.exp(x - x.max())
+
+def _exponentials(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of a shifted bias, their exponentials less a shift, the rows' sums, and the further shift of each row. It
+    is 0, unless a row lies so far below the bound that its sum is lost: then rows are shifted by their largest element."""
+    x = h @ weights
+    x += bias
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
     total = e @ np.ones(x.shape[1], x.dtype)
-    if total.min() < 1e-25:
-        e = np.exp(x - x.max(1)[:, None])
+    shift = np.zeros((), x.dtype)
+    if x.size and not 1e-25 < total.min() <= total.max() < 1e25:
+        shift = x.max(1)
+        e = np.exp(x - shift[:, None])
         total = e.sum(1)
-    return e, total
+    return x, e, total, shift
+
+
+def _errors(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+    """Softmax of each row less 1 at element at[i], and the sum of the targets' negative logarithms."""
+    _, e, total, _ = _exponentials(h, weights, bias)
+    e *= (1 / total)[:, None]
+    cells, place = e.reshape(-1), np.arange(len(e)) * e.shape[1] + at
+    own = cells[place]
+    cells[place] = own - 1
+    return e, -float(np.log(np.maximum(own, 1e-30)).sum())
 
 
-def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Logarithm of the share of element at[i] in row i, as doubles."""
-    own = x[np.arange(len(x)), at].astype(np.float64)
-    top = x.max() if x.size else 0
-    total = np.exp(x - top) @ np.ones(x.shape[1], x.dtype)
-    if x.size and total.min() < 1e-25:
-        top = x.max(1)
-        total = np.exp(x - top[:, None]).sum(1)
-    return own - top - np.log(total.astype(np.float64))
+    x, _, total, shift = _exponentials(h, weights, bias)
+    own = x.reshape(-1)[np.arange(len(x)) * x.shape[1] + at].astype(np.float64)
+    return own - shift - np.log(total.astype(np.float64))
 
 
-def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the targets of each head class that occurs."""
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of all targets in the order of their classes, and (class, first, last + 1) of each head class that occurs."""
     order = np.argsort(classes, kind="stable")
     edges = np.searchsorted(classes[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        if edges[c + 1] > edges[c]:
-            yield c, order[edges[c] : edges[c + 1]]
+    return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+
+def _add_rows(out: np.ndarray, rows: np.ndarray, at: np.ndarray, often: int = 32) -> None:
+    """Adds each row to row at[i] of out: those that many rows go to take a sum, all others their first, second, ... row."""
+    order = np.argsort(at, kind="stable")
+    sorted_ = at[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(at) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(at)))
+    down = np.argsort(-counts, kind="stable")
+    which, first, counts = sorted_[first[down]], first[down], counts[down]
+    sums = np.zeros((len(first), rows.shape[1]), rows.dtype)
+    many = int((counts > often).sum())
+    for k in range(many):
+        sums[k] = rows.take(order[first[k] : first[k] + counts[k]], 0).sum(0)
+    for k in range(often):
+        left = slice(many, int((counts > k).sum()))
+        sums[left] += rows.take(order[first[left] + k], 0)
+    out[which] += sums
 
 
 def sequence(codes: np.ndarray, shapes: np.ndarray, own: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, ...]:
@@ -296,18 +420,20 @@ def score_texts(net: Network, inputs: np.ndarray, classes: np.ndarray, words: np
     out = np.zeros(len(lengths))
     before = shifted(inputs, offsets)
     order = np.argsort(-lengths, kind="stable")
+    step = net.steps()
     for s in range(0, len(order), lanes):
         rows = order[s : s + lanes]
         own, first = lengths[rows], offsets[rows]
         h = np.zeros((len(rows), HIDDEN), F32)
+        longer = len(own) - np.searchsorted(own[::-1], np.arange(int(own[0])), side="right")
         for t0 in range(0, int(own[0]), window):
             states, at = [], []
             for t in range(t0, min(t0 + window, int(own[0]))):
-                n = int(np.searchsorted(-own, -t, side="left"))  # texts longer than t come first
-                h = h[:n]
-                h, _ = net.step(h, before[first[:n] + t])
+                n = int(longer[t])  # texts longer than t come first
+                place = first[:n] + t
+                h = step(h[:n], before[place])[0]
                 states.append(h)
-                at.append(first[:n] + t)
+                at.append(place)
             place = np.concatenate(at)
             lane = np.concatenate([np.arange(len(a)) for a in at])
             got = net.log_probabilities(np.concatenate(states), classes[place], words[place])
@@ -339,11 +465,13 @@ def counted(rows: DataFrame) -> DataFrame:
     """(hash, shape, c) of all tokens of the rows' texts; ends are words of the hash END and of shape -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tb.chunks(batches, "__text"):
-            codes, shapes, _ = word_codes(chunk)
-            different, first, n = np.unique(codes, return_index=True, return_counts=True)
+        for slim, codes, shapes, _ in _gathered(batches, COUNT_WORDS):
+            order = np.argsort(codes)
+            codes = codes[order]
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+            n, texts = np.diff(np.append(first, len(codes))), sum(c.n for c in slim)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(different, U(END)).view(np.int64)), pa.array(np.append(shapes[first], -1).astype(np.int32)), pa.array(np.append(n, chunk.n).astype(np.int64))],
+                [pa.array(np.append(codes[first], U(END)).view(np.int64)), pa.array(np.append(shapes[order[first]], -1).astype(np.int32)), pa.array(np.append(n, texts).astype(np.int64))],
                 names=["hash", "shape", "c"],
             )
 
