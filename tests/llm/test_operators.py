@@ -591,6 +591,31 @@ def test_repeats_of_documents(spark):
     assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute
 
 
+def test_planted_passages_of_over_fifty_words(spark):
+    """Passages in two documents go if they have 400 bytes, however many words; shorter ones and documents without any stay."""
+    rng = random.Random(61)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    prose = lambda k, n=7: " ".join(word(n) for _ in range(k))
+    passages_ = {"long": [prose(51), prose(60), prose(200)], "short": [prose(51, 6), prose(60, 5)]}
+    rows, kinds = [], []
+    for kind, some in passages_.items():
+        assert all((len(x) >= 400) == (kind == "long") for x in some)
+        for x in some:
+            for _ in range(4):
+                # Different letters on both sides end what is shared.
+                rows.append((len(rows), f"{prose(30)} {len(rows)}{x}{len(rows)} {prose(30)}"))
+                kinds.append((kind, len(x)))
+    for _ in range(8):
+        rows.append((len(rows), prose(120)))
+        kinds.append(("clean", 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_id(suffix_repeats.repeated(df)[0])
+    assert {d: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for d, r in got.items()} == brute_removed(rows, 400)
+    for d, (kind, size) in enumerate(kinds):
+        # Neighbouring numbers may share a digit.
+        assert size <= got[d].n_removed <= size + 4 if kind == "long" else got[d].n_removed == 0
+
+
 def test_prefix_intervals():
     lcp = [1, 3, 3, 0, 2]
     expected = {(i, j + 1, min(lcp[i : j + 1])) for i in range(5) for j in range(i, 5) if (i == 0 or lcp[i - 1] < min(lcp[i : j + 1])) and (j == 4 or lcp[j + 1] < min(lcp[i : j + 1]))}
