@@ -616,6 +616,32 @@ def test_planted_passages_of_over_fifty_words(spark):
         assert size <= got[d].n_removed <= size + 4 if kind == "long" else got[d].n_removed == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_repeats_with_heavy_keys(spark, hot):
+    """Groups, contexts and windows of more than three rows go by the other way of joining; rows that repeat count as copies."""
+    rows = passages()
+    rows += [(k, rows[3][1]) for k in range(200, 220)] + rows[:5] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    brute = brute_removed([(k, t) for k, (_, t) in enumerate(rows)], 60)
+    got = suffix_repeats.repeated(df, length=60, hot_group=hot, heavy=3)[0].collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((rows[k][0], *b) for k, b in brute.items())
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_matched_leaves_heavy_keys_where_they_are(spark, how):
+    scratch = Scratch(spark, "t")
+    many = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id") % 7 + 2).alias("k"), "id")
+    many = scratch.keep(many.where("id > 0"), "many")
+    one = scratch.keep(many.groupBy("k").agg(F.count("*").alias("rows")).where("k != 5").withColumn("flag", F.lit(True)), "one")
+    got = suffix_repeats.matched(many, one, ["k"], 1000, how)
+    assert got.columns == ["k", "id", "flag"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, many.join(one.drop("rows"), "k", how).collect()), key=str)
+    # A plain join deals all rows of a key into one task.
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert many.where("k = 1").count() == 3199 and most < 1600
+    scratch.drop()
+
+
 def test_prefix_intervals():
     lcp = [1, 3, 3, 0, 2]
     expected = {(i, j + 1, min(lcp[i : j + 1])) for i in range(5) for j in range(i, 5) if (i == 0 or lcp[i - 1] < min(lcp[i : j + 1])) and (j == 4 or lcp[j + 1] < min(lcp[i : j + 1]))}
